@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table
-from . import heavy_hitters, near_dup, quantiles, seen_filter
+from ..session import materialize, read_table
+from . import contamination, heavy_hitters, mixing, near_dup, quantiles, seen_filter
 
 
 # ---------------------------------------------------------------- problem 1
@@ -93,4 +93,42 @@ def p4_top(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.col("item").alias("seq"), "exact_count", (F.col("approx_count") >= F.col("exact_count")).alias("bound_holds"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_error, p3_percentiles, p3_daily, p4_found, p4_top)}
+# ---------------------------------------------------------------- problem 6
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = contamination.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+    return found.where(f"longest_run >= {contamination.RUN}").select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Copies, whole or edited: at least half of a whole copy's alignment score."""
+    found = contamination.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+    return found.where(f"score >= 0.5 or longest_run >= {contamination.RUN}")
+
+
+# ---------------------------------------------------------------- problem 7
+def mix_counts(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(mixing.token_counts(read_table(spark, d, "documents")), "mix-tokens")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    rate = mixing.rates(mixing.token_counts(read_table(spark, d, "documents")), read_table(spark, d, "mix_targets"))
+    return rate.where(F.col("tokens") * F.col("max_repeats") < F.col("wanted")).select("source")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    counts = mix_counts(spark, d)
+    rate = mixing.rates(counts, read_table(spark, d, "mix_targets"))
+    return mixing.report(mixing.draw(counts, rate), rate)
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix itself, one row a copy of a document."""
+    counts = mix_counts(spark, d)
+    drawn = mixing.draw(counts, mixing.rates(counts, read_table(spark, d, "mix_targets")))
+    return mixing.emit(read_table(spark, d, "documents").select("doc_id", "source", "text"), drawn)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_groups, p2_found, p2_error, p3_percentiles, p3_daily, p4_found, p4_top, p6_found, p6_leaks, p7_found, p7_shares, p7_mix)
+}

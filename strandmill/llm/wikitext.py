@@ -42,6 +42,11 @@ CATEGORY_NAMES = frozenset(
     "category kategorie catégorie categoría categoria categorie kategori kategoria категория".split()
 )
 FILE_NAMES = frozenset("file image datei bild fichier archivo imagen immagine bestand afbeelding ficheiro imagem fil plik grafika файл изображение".split())
+# fixed values: templates that set off quoted text
+QUOTE_NAMES = frozenset("quote blockquote cquote quotation zitat cita citazione citação citaat citat cytat цитата".split())
+_QUOTE_HINT = re.compile(r"\{\{\s*(?:" + "|".join(sorted(QUOTE_NAMES)) + r")\s*\|", re.I)
+_BAR = re.compile(r"\|(?![^\[\]]*\]\])")
+_NAMED = re.compile(r"^\s*([\w ]+?)\s*=")
 _REDIRECT = re.compile(r"^\s*#\s*[^\W\d_]+\s*:?\s*\[\[", re.I)
 
 
@@ -56,8 +61,19 @@ def _shown(m: re.Match) -> str:
     return body.rpartition("|")[2] if "|" in body else body
 
 
-def _strip_hidden(t: str) -> str:
-    """Comments, references, parameters, templates."""
+def _quoted(m: re.Match) -> str:
+    """The text a quotation template shows; nothing for any other template."""
+    name, *args = _BAR.split(m[0][2:-2])
+    if name.strip().lower() not in QUOTE_NAMES:
+        return ""
+    named = {n[1].lower(): a[n.end() :] for a in args if (n := _NAMED.match(a))}
+    plain = [a for a in args if not _NAMED.match(a)]
+    text = next((named[k] for k in ("text", "quote", "1") if k in named), plain[0] if plain else "")
+    return f" {text} "
+
+
+def _strip_hidden(t: str, quotes: bool = False) -> str:
+    """Comments, references, parameters, templates (``quotes``: show quoted text)."""
     if "<" in t:
         if "<!--" in t:
             t = _COMMENT.sub("", t)
@@ -66,9 +82,10 @@ def _strip_hidden(t: str) -> str:
     if "{{" in t:
         if "{{{" in t:
             t = _PARAM.sub("", t)
+        show = _quoted if quotes and _QUOTE_HINT.search(t) else ""
         n = 1
         while n:
-            t, n = _TEMPLATE.subn("", t)
+            t, n = _TEMPLATE.subn(show, t)
         if "{{" in t:
             t = _OPEN_TEMPLATE.sub("", t)
     return t
@@ -113,7 +130,7 @@ def visible_text(text: str | None) -> str:
     held: list[str] = []
     if "<nowiki" in text:
         text, held = _hold_nowiki(text.replace("\x00", " "))
-    t = _strip_hidden(text)
+    t = _strip_hidden(text, quotes=True)
     if "{|" in t or "\n|" in t or "\n!" in t:
         out = []
         for line in t.split("\n"):
