@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, read_table
-from . import contamination, heavy_hitters, mixing, near_dup, quantiles, seen_filter
+from . import contamination, heavy_hitters, langid, mixing, near_dup, quantiles, seen_filter
 
 
 # ---------------------------------------------------------------- problem 1
@@ -128,7 +128,26 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.emit(read_table(spark, d, "documents").select("doc_id", "source", "text"), drawn)
 
 
+# ---------------------------------------------------------------- problem 8
+def told_stretches(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents").select("doc_id", "lang", "text")
+    return langid.stretches(docs, langid.train(docs))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.label_cases(langid.document_languages(told_stretches(spark, d)))
+
+
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Main language of each document with its confidence."""
+    return langid.document_languages(told_stretches(spark, d)).withColumn("others", F.array_join(F.sort_array("others"), ","))
+
+
+def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return told_stretches(spark, d)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_error, p3_percentiles, p3_daily, p4_found, p4_top, p6_found, p6_leaks, p7_found, p7_shares, p7_mix)
+    for f in (p1_found, p1_groups, p2_found, p2_error, p3_percentiles, p3_daily, p4_found, p4_top, p6_found, p6_leaks, p7_found, p7_shares, p7_mix, p8_found, p8_documents, p8_stretches)
 }
