@@ -4,10 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped_to: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session's application.
+
+    Functions inside tasks are found by module name; so the executors need the
+    package whatever folder the driver was started from.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped_to:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="strandmill-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped_to.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, for written intermediate tables.
 
