@@ -75,8 +75,13 @@ def best_per(results: DataFrame, key: str, score: str = "f1_score", name: str =
     return results.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def mean_score(score: str = "f1_score") -> Column:
+    """Mean of scores with 4 places, summed as whole numbers: the same in any order."""
+    return F.bround(F.sum(F.round(F.col(score) * 10000).cast("bigint")) / (F.count(score) * 10000.0), 6)
+
+
 def overall_ranking(results: DataFrame) -> DataFrame:
-    s = results.groupBy("aligner").agg(F.bround(F.avg("f1_score"), 6).alias("mean_f1"), F.bround(F.stddev_samp("f1_score"), 6).alias("std_f1"), F.count("f1_score").alias("n"))
+    s = results.groupBy("aligner").agg(mean_score().alias("mean_f1"), F.bround(F.stddev_samp("f1_score"), 6).alias("std_f1"), F.count("f1_score").alias("n"))
     return ranked(s, "mean_f1")
 
 
@@ -93,13 +98,13 @@ def sample_wins(results: DataFrame) -> DataFrame:
 
 
 def rank_by(results: DataFrame, key: str) -> DataFrame:
-    mean = results.groupBy(key, "aligner").agg(F.bround(F.avg("f1_score"), 6).alias("mean_f1"))
+    mean = results.groupBy(key, "aligner").agg(mean_score().alias("mean_f1"))
     return mean.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("mean_f1"), "aligner")))
 
 
 def pivot_scores(results: DataFrame, aligners: list[str]) -> DataFrame:
     """sample x aligner mean score; the columns are given, so no extra pass finds them."""
-    return results.groupBy("sample").pivot("aligner", aligners).agg(F.bround(F.avg("f1_score"), 6))
+    return results.groupBy("sample").pivot("aligner", aligners).agg(mean_score())
 
 
 def unpivot_scores(results: DataFrame) -> DataFrame:

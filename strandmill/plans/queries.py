@@ -346,10 +346,6 @@ def consensus_level(spark, d):
     return correct.consensus_level(views.clean_calls(spark, d)).groupBy("aligner", "consensus_level").agg(F.count(F.lit(1)).alias("sites"))
 
 
-def site_counts(spark, d) -> DataFrame:
-    return views.clean_calls(spark, d).where("chrom like 'chr_sim%'").groupBy("pos").agg(F.sum("meth_count").alias("meth_count"), F.sum("coverage").alias("coverage")).withColumn("chrom", F.lit("chr_sim"))
-
-
 def sites_in_genome(spark, d) -> DataFrame:
     """Counts of all calls by position, folded onto the derived genome."""
     g = views.genome_length(spark, d)
