@@ -152,4 +152,31 @@ QUERIES = {
     for f in (p1_found, p1_groups, p2_found, p2_error, p3_percentiles, p3_daily, p4_found, p4_top, p6_found, p6_leaks, p7_found, p7_shares, p7_mix, p8_found, p8_documents, p8_stretches)
 }
 
-ORACLES: dict[str, str] = {}
+# ------------------------------------------------------------- DuckDB twins
+_INSERTS = """u as (select library, max(location) as location, coalesce(max(umi_length), 0)::int as n from umi_stats group by library),
+  s as (select read_idx, upper(trim(seq)) as s, location, n from reads left join u using (library) where seq is not null),
+  ins as (select read_idx, case location when 'inline_5prime' then substr(s, n + 1) when 'inline_3prime' then left(s, greatest(length(s) - n, 0)) else s end as t from s)"""
+_CALLS = """v as (select lower(trim(chrom)) as chrom, coalesce(strftime(called_ts, '%Y-%m-%d'), 'none') as day, unnest([{'m': 'coverage', 'v': coverage::double}, {'m': 'level', 'v': level}]) as x from calls where chrom is not null),
+  w as (select chrom, day, x.m as measure, x.v as v from v where x.v is not null and not isnan(x.v))"""
+
+
+def _percentiles(keys: str, shares: list[float]) -> str:
+    """Value at rank max(1, ceil(p * n)); exact, as the sketches are for small groups."""
+    return f"""with {_CALLS}, o as (select *, row_number() over (partition by {keys} order by v) as k, count(*) over (partition by {keys}) as n from w),
+      p as (select unnest({shares}::double[]) as p) select {keys}, n, p, min(v) as value, 0.0::double as max_rank_error from o, p where k = greatest(1, ceil(p * n)) group by {keys}, n, p"""
+
+
+# p1_found compares all pairs that share an n-gram; fine at the size of the check, too slow beyond
+ORACLES: dict[str, str] = {
+    "p1_found": f"""with {_INSERTS}, g as (select t, row_number() over (order by t) as id from ins where length(t) >= 8 group by t),
+      k as (select distinct id, substr(t, i::int, 8) as k from (select id, t, unnest(range(1, length(t) - 6)) as i from g)), z as (select id, count(*) as n from k group by id),
+      c as (select a.id as a, b.id as b, count(*) as i from k a join k b on a.k = b.k and a.id < b.id group by 1, 2),
+      hit as (select a, b from c join z x on x.id = a join z y on y.id = b where 2 * c.i >= x.n + y.n - c.i)
+      select least(p.read_idx, q.read_idx) as read_idx_a, greatest(p.read_idx, q.read_idx) as read_idx_b from hit join g x on x.id = a join g y on y.id = b join ins p on p.t = x.t join ins q on q.t = y.t""",
+    "p2_found": """with k as (select read_idx, regexp_replace(upper(trim(umi)), '[^ACGT]', 'N', 'g') as k from reads)
+      select read_idx from (select read_idx, min(read_idx) over (partition by k) as first from k where length(k) >= 4) where read_idx > first""",
+    "p3_percentiles": _percentiles("chrom, measure", SHARES),
+    "p3_daily": _percentiles("chrom, day, measure", [0.1, 0.5, 0.9]),
+    "p4_found": "with r as (select upper(seq) as seq from reads where trim(seq) <> '') select seq from r group by seq having count(*) >= 0.005 * (select count(*) from r)",
+    "p4_top": "with r as (select upper(seq) as seq from reads where trim(seq) <> '') select seq, count(*) as exact_count, true as bound_holds from r group by seq having count(*) >= 0.002 * (select count(*) from r)",
+}
