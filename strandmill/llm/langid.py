@@ -310,7 +310,9 @@ def label_cases(doc: DataFrame) -> DataFrame:
     def names(label):
         return label.map(label_language, na_action=None)
 
-    named = doc.withColumn("named", names("label"))
-    told = named.where("named is null or named <> lang").select("doc_id", F.when(F.col("named").isNull(), "missing").otherwise("wrong").alias("kind"), "lang")
-    mixed = named.select("doc_id", F.lit("mixed").alias("kind"), F.explode("others").alias("lang"))
-    return told.unionByName(mixed)
+    # one pass over the documents: a row's cases are put side by side, then unfolded
+    told = F.when(F.col("named").isNull(), "missing").when(F.col("named") != F.col("lang"), "wrong")
+    case = lambda kind, lang: F.struct(kind.alias("kind"), lang.alias("lang"))
+    cases = F.concat(F.array(case(told, F.col("lang"))), F.transform("others", lambda x: case(F.lit("mixed"), x)))
+    every = doc.withColumn("named", names("label")).select("doc_id", F.explode(cases).alias("c"))
+    return every.where("c.kind is not null").select("doc_id", "c.kind", "c.lang")
