@@ -1,8 +1,10 @@
-"""Adapter detection and 3' trimming, inside the JVM."""
+"""Adapter detection inside the JVM, and 3' trimming over Arrow batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.conversion import parse_conversion
@@ -44,20 +46,30 @@ def detect(reads: DataFrame, share: float = 0.01, top: int = 20) -> DataFrame:
     return most.select("tail", "reads", name.alias("adapter")).where("adapter is not null")
 
 
-def cut_at(seq: Column, adapter: str, min_overlap: int = 6, max_error: float = 0.1) -> Column:
-    """Smallest offset at which the adapter fits ungapped to the read's end; null if nowhere.
+def first_fit(seqs: list[str | None], forms: list[str], min_overlap: int = 6, max_error: float = 0.1) -> np.ndarray:
+    """Smallest offset at which any form fits ungapped to the read's end, -1 if none.
 
     The overlap is what of the adapter lies in the read; it needs ``min_overlap``
     letters, as many matches, and a share of mismatches of at most ``max_error``.
+    All reads of a batch are compared at one offset at a time.
     """
-    n = F.length(seq)
-
-    def fits(i: Column) -> Column:
-        overlap = F.least(n - i, F.lit(len(adapter)))
-        same = F.aggregate(F.sequence(F.lit(1), overlap), F.lit(0), lambda a, j: a + (F.substring(seq, i + j, F.lit(1)) == F.substring(F.lit(adapter), j, F.lit(1))).cast("int"))
-        return (same >= min_overlap) & (1 - same.cast("double") / overlap <= max_error)
-
-    return F.when(n >= min_overlap, F.get(F.filter(F.sequence(F.lit(0), n - min_overlap), fits), F.lit(0)))
+    raw = [(s or "").encode() for s in seqs]
+    lens = np.fromiter(map(len, raw), np.int64, len(raw))
+    wide, most = int(lens.max(initial=0)), max(map(len, forms))
+    grid = np.zeros((len(raw), wide + most), np.uint8)
+    flat = np.frombuffer(b"".join(raw), np.uint8)
+    grid[np.repeat(np.arange(len(raw)), lens), np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = flat
+    cut = np.full(len(raw), -1, np.int64)
+    for i in range(max(0, wide - min_overlap + 1)):
+        open_ = np.flatnonzero((cut < 0) & (lens - i >= min_overlap))
+        if not len(open_):
+            continue
+        for form in forms:
+            overlap = np.minimum(lens[open_] - i, len(form))
+            same = (grid[open_, i : i + len(form)] == np.frombuffer(form.encode(), np.uint8)).sum(axis=1)
+            fits = (same >= min_overlap) & (1 - same / overlap <= max_error)
+            cut[open_[fits]] = i
+    return cut
 
 
 def trim(reads: DataFrame, adapter: str, conversion: str = "ct", min_overlap: int = 6, max_error: float = 0.1) -> DataFrame:
@@ -66,10 +78,14 @@ def trim(reads: DataFrame, adapter: str, conversion: str = "ct", min_overlap: in
     Offset 0 gives an empty read; no read is dropped; null stays null.
     """
     c = parse_conversion(conversion)
-    seq, forms = F.col("seq"), {adapter, adapter.replace(c.target, c.converted)}
-    cuts = [cut_at(seq, a, min_overlap, max_error) for a in sorted(forms)]
-    cut = F.least(*cuts) if len(cuts) > 1 else cuts[0]
-    out = reads.withColumn("cut_at", cut)
+    forms = sorted({adapter, adapter.replace(c.target, c.converted)})
+
+    @F.pandas_udf("int")
+    def cut(seq: pd.Series) -> pd.Series:
+        at = pd.Series(first_fit(seq.tolist(), forms, min_overlap, max_error), index=seq.index)
+        return at.astype("Int32").mask(at < 0)
+
+    out = reads.withColumn("cut_at", cut(F.col("seq")))
     for column in ("seq", "qual"):
         if column in reads.columns:
             out = out.withColumn(column, F.when(F.col("cut_at").isNull(), F.col(column)).otherwise(F.substring(column, F.lit(1), F.col("cut_at"))))
