@@ -5,8 +5,9 @@ by the vocabulary of the passages and keeps the positions of every passage
 n-gram. Those hits (a small part of the corpus) are written once. From them the
 corpus frequency of each n-gram is counted, and the rarest n-gram of every
 window of ``run`` passage words becomes a seed: any copy of ``run`` consecutive
-words holds at least one seed, so no exact copy is missed, while boilerplate
-phrases start nothing. Seeds join documents to items; each pair is then aligned
+words holds at least one seed, so no exact copy is missed. N-grams of at most
+``rare_docs`` documents are seeds as well, so that edited copies start too, while
+boilerplate phrases start nothing. Seeds join documents to items; each pair is then aligned
 word by word (Smith-Waterman, linear gaps), which also scores edited copies.
 
 The passages are a stated query set. They are worked off in blocks of at most
@@ -29,7 +30,7 @@ from ..session import materialize
 from .hashing import mix64
 from .wikitext import plain_words, words
 
-GRAM, RUN, BLOCK_WORDS = 8, 12, 500_000
+GRAM, RUN, BLOCK_WORDS, RARE_DOCS = 8, 12, 500_000, 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 _U = np.uint64
 
@@ -109,8 +110,8 @@ def hits(docs: DataFrame, block: Passages) -> DataFrame:
     return clean.mapInArrow(run, "doc_id long, ids array<int>, grams array<int>, places array<int>")
 
 
-def rare_seeds(found: DataFrame, block: Passages) -> DataFrame:
-    """(gram, item_id, gram_at): of each window of ``run`` words the rarest n-gram.
+def rare_seeds(found: DataFrame, block: Passages, rare_docs: int = RARE_DOCS) -> DataFrame:
+    """(gram, item_id, gram_at): of each window of ``run`` words the rarest n-gram, and all rare ones.
 
     At most one row a passage word, since each is an n-gram of one place.
     """
@@ -123,7 +124,9 @@ def rare_seeds(found: DataFrame, block: Passages) -> DataFrame:
     ranked = place.join(common, "gram", "left").withColumn("last", F.max("gram_at").over(Window.partitionBy("item_id")))
     best = ranked.select("item_id", "gram_at", "last", F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "gram_at", "gram")).over(w).alias("s"))
     best = best.where((F.col("gram_at") == 0) | (F.col("gram_at") <= F.col("last") - span))
-    return best.where("s.docs > 0").select(F.col("s.gram").alias("gram"), "item_id", F.col("s.gram_at").alias("gram_at")).distinct()
+    rarest = best.where("s.docs > 0").select(F.col("s.gram").alias("gram"), "item_id", F.col("s.gram_at").alias("gram_at"))
+    rare = place.join(common.where(F.col("docs") <= rare_docs), "gram").select("gram", "item_id", "gram_at")
+    return rarest.union(rare).distinct()
 
 
 def align(docs: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,10 +152,10 @@ def align(docs: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray,
     return best, most
 
 
-def leaks_of_block(docs: DataFrame, block: Passages) -> DataFrame:
+def leaks_of_block(docs: DataFrame, block: Passages, rare_docs: int = RARE_DOCS) -> DataFrame:
     """(doc_id, item_id, score, longest_run) for pairs joined by a seed."""
     found = materialize(hits(docs, block), "passage-hits")
-    seeds = rare_seeds(found, block)
+    seeds = rare_seeds(found, block, rare_docs)
     spots = found.select("doc_id", F.explode(F.arrays_zip("grams", "places")).alias("g")).select("doc_id", F.col("g.grams").alias("gram"), F.col("g.places").alias("place"))
     # seeds: at most one a passage word of this block, bounded by block_words
     pairs = spots.join(F.broadcast(seeds), "gram").groupBy("doc_id", "item_id").agg(F.min(F.col("place") - F.col("gram_at")).alias("low"), F.max(F.col("place") - F.col("gram_at")).alias("high"))
@@ -182,14 +185,14 @@ def leaks_of_block(docs: DataFrame, block: Passages) -> DataFrame:
     return pairs.select("doc_id", "item_id", "low", "high", "ids").mapInArrow(run, "doc_id long, item_id long, score double, longest_run int")
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, gram: int = GRAM, run: int = RUN, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, gram: int = GRAM, run: int = RUN, block_words: int = BLOCK_WORDS, rare_docs: int = RARE_DOCS) -> DataFrame:
     """(doc_id, item_id, score, longest_run) of all blocks of passages.
 
     ``score`` is the alignment score over that of a whole, unedited copy.
     """
     out = None
     for block in item_blocks(items, block_words):
-        part = leaks_of_block(docs, Passages(block, gram, run))
+        part = leaks_of_block(docs, Passages(block, gram, run), rare_docs)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, longest_run int")
