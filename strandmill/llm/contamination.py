@@ -16,7 +16,8 @@ of the set; a set beyond one block costs one corpus pass a block.
 
 Defined results: null or empty texts and passages have no words and match
 nothing; passages under ``run`` words are matched as a whole; equal passages of
-different items are all reported; whole texts are read, of any length.
+different items are all reported; rows that repeat a doc_id are one document,
+shown by its best text; whole texts are read, of any length.
 """
 
 from __future__ import annotations
@@ -182,7 +183,8 @@ def leaks_of_block(docs: DataFrame, block: Passages, rare_docs: int = RARE_DOCS)
                 longest[at] = r
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array(longest)], names=["doc_id", "item_id", "score", "longest_run"])
 
-    return pairs.select("doc_id", "item_id", "low", "high", "ids").mapInArrow(run, "doc_id long, item_id long, score double, longest_run int")
+    scored = pairs.select("doc_id", "item_id", "low", "high", "ids").mapInArrow(run, "doc_id long, item_id long, score double, longest_run int")
+    return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, gram: int = GRAM, run: int = RUN, block_words: int = BLOCK_WORDS, rare_docs: int = RARE_DOCS) -> DataFrame:
