@@ -141,21 +141,46 @@ def sketch_groups(rows: DataFrame, keys: list[str], measures: list[str], k: int
     return clean.mapInArrow(run, schema).withColumn("slice", F.spark_partition_id())
 
 
+def _merged(batches, n_keys: int, k: int, fan_in: int):
+    """(key, Buffers) of each run of rows with one key; only one group is held."""
+    key, own = None, None
+    for batch in batches:
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys))))
+        lists = batch.column(n_keys + 1)
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        tiers, w, c = (batch.column(n_keys + i).to_numpy() for i in (0, 2, 3))
+        for i, now in enumerate(keys):
+            if now != key:
+                if own is not None:
+                    yield key, own
+                key, own = now, Buffers(k, fan_in)
+            own.merge_rows([tiers[i]], [flat[ends[i] : ends[i + 1]].copy()], w[i], c[i])
+    if own is not None:
+        yield key, own
+
+
+def _by_key(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a key together, in an order that doesn't depend on which task ended first."""
+    rows = sketches.select(*keys, "tier", "vals", "w", "c")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("tier"), F.xxhash64("vals"))
+
+
 def merge_sketches(parts: DataFrame, keys: list[str], k: int = K, fan_in: int = FAN_IN) -> DataFrame:
     """Merge sketches that agree in ``keys``; the result is again sketches."""
     kinds = [pa.int32() if parts.schema[c].dataType.simpleString() == "int" else pa.string() for c in keys]
 
-    def run(group: pa.Table) -> pa.Table:
-        s = Buffers(k, fan_in)
-        # a set order makes the result the same whatever order tasks ended in
-        vals = [np.asarray(v.values) for v in group["vals"]]
-        tiers = group["tier"].to_pylist()
-        order = sorted(range(len(tiers)), key=lambda i: (-tiers[i], len(vals[i]), vals[i][:1].tolist(), vals[i][-1:].tolist(), float(vals[i].sum())))
-        s.merge_rows([tiers[i] for i in order], [vals[i] for i in order], group["w"].to_numpy(), group["c"].to_numpy())
-        return pa.Table.from_batches([_table([tuple(group[c][0].as_py() for c in keys)], kinds, keys, [s])])
+    def run(batches):
+        done: list[tuple] = []
+        for one in _merged(batches, len(keys), k, fan_in):
+            done.append(one)
+            if len(done) == 256:
+                yield _table([g for g, _ in done], kinds, keys, [b for _, b in done])
+                done = []
+        if done:
+            yield _table([g for g, _ in done], kinds, keys, [b for _, b in done])
 
     schema = ", ".join(f"{c} {parts.schema[c].dataType.simpleString()}" for c in keys) + ", " + SKETCH
-    return parts.groupBy(*keys).applyInArrow(run, schema)
+    return _by_key(parts, keys).mapInArrow(run, schema)
 
 
 def merged_in_tiers(parts: DataFrame, keys: list[str], slices: int, k: int = K, fan_in: int = FAN_IN) -> DataFrame:
@@ -167,12 +192,12 @@ def merged_in_tiers(parts: DataFrame, keys: list[str], slices: int, k: int = K,
 def percentiles(sketches: DataFrame, keys: list[str], shares: list[float], k: int = K, fan_in: int = FAN_IN) -> DataFrame:
     """(keys..., n, p, value, max_rank_error): merge what agrees in ``keys`` and answer."""
 
-    def run(group: pa.Table) -> pa.Table:
-        s = Buffers(k, fan_in)
-        s.merge_rows(group["tier"].to_pylist(), [np.asarray(v.values) for v in group["vals"]], group["w"].to_numpy(), group["c"].to_numpy())
-        n, got, bound = s.quantiles(shares)
-        m = len(shares)
-        return pa.table({**{c: pa.array([group[c][0].as_py()] * m, pa.string()) for c in keys}, "n": pa.array([n] * m, pa.int64()), "p": pa.array(shares, pa.float64()), "value": pa.array(got, pa.float64()), "max_rank_error": pa.array([bound] * m, pa.float64())})
+    def run(batches):
+        for key, own in _merged(batches, len(keys), k, fan_in):
+            n, got, bound = own.quantiles(shares)
+            m = len(shares)
+            columns = [*(pa.array([x] * m, pa.string()) for x in key), pa.array([n] * m, pa.int64()), pa.array(shares, pa.float64()), pa.array(got, pa.float64()), pa.array([bound] * m, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "n", "p", "value", "max_rank_error"])
 
     schema = ", ".join(f"{c} string" for c in keys) + ", n long, p double, value double, max_rank_error double"
-    return sketches.groupBy(*keys).applyInArrow(run, schema)
+    return _by_key(sketches, keys).mapInArrow(run, schema)
