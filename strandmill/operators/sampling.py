@@ -2,7 +2,8 @@
 
 A row's place in the draw is the md5 of its id and the seed, so the same rows
 come out on every run and any partitioning; taking the first n is a TakeOrdered
-(each task keeps n rows), not a global sort.
+(each task keeps n rows), not a global sort. For shares of a large set there is
+``sample_percent``, which takes no more than a sliver in one task.
 """
 
 from __future__ import annotations
@@ -26,9 +27,23 @@ def sample_pairs(read1: DataFrame, read2: DataFrame, n: int, seed: int = 42) ->
     return picked.withColumnRenamed("seq", "seq1").join(read2.select("read_idx", F.col("seq").alias("seq2")), "read_idx")
 
 
-def sample_percent(reads: DataFrame, percent: float, seed: int = 42) -> DataFrame:
-    """max(1, floor(all * percent / 100)) rows; one count reaches the driver."""
-    return sample_reads(reads, max(1, int(reads.count() * percent / 100)), seed)
+def sample_percent(reads: DataFrame, percent: float, seed: int = 42, id_col: str = "read_idx") -> DataFrame:
+    """max(1, floor(all * percent / 100)) rows, the first of the draw.
+
+    A share of a large set is too much to take in one task: rows are counted by
+    the first four digits of their draw (65,536 counts reach the driver), all
+    digits below the cut are kept as they are, and only those at it are ordered.
+    """
+    keyed = reads.withColumn("__draw", draw_key(id_col, seed))
+    digits = F.substring("__draw", 1, 4)
+    counts = sorted((r["d"], r["count"]) for r in keyed.groupBy(digits.alias("d")).count().collect())
+    want, cut = max(1, int(sum(n for _, n in counts) * percent / 100)), ""
+    for cut, n in counts:
+        if n >= want:
+            break
+        want -= n
+    at = keyed.where(digits == cut).orderBy("__draw", id_col).limit(want)
+    return keyed.where(digits < cut).unionByName(at).drop("__draw")
 
 
 def head(reads: DataFrame, n: int) -> DataFrame:

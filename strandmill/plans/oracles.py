@@ -144,6 +144,7 @@ ORACLES: dict[str, str] = {
     "qc_length_hist": f"with {READS} select length(seq) as length, count(*) as reads from r group by 1",
     "qc_overrepresented": f'with {READS}, c as (select seq, count(*) as n from r group by 1) select seq as sequence, n as "count", round_even(100.0::double * n / (select count(*) from r), 4) as pct from c where n >= (select count(*) from r) * 0.001 order by n desc, seq limit 20',
     "qc_adapters": f"with {READS} " + " union all ".join(f"select '{n}' as adapter, count(*) filter (contains(seq, '{s[:12]}')) as reads, round_even(100.0::double * count(*) filter (contains(seq, '{s[:12]}')) / count(*), 4) as pct from r" for n, s in ADAPTERS.items()),
+    "qc_grade": f"with {QUALS}, mq as (select floor(sum(v)::double / count(*)) as m from q group by read_idx), x as (select avg(m) as quality from mq), a as (select greatest({', '.join(f'round_even(100.0::double * count(*) filter (contains(seq, {chr(39)}{s[:12]}{chr(39)})) / count(*), 4)' for s in ADAPTERS.values())}) as adapter_pct from r) select round_even(quality, 4) as quality, adapter_pct, case when quality >= 28 and adapter_pct <= 5 then 'PASS' when quality >= 20 then 'WARNING' else 'FAIL' end as grade from x, a",
     "conversion_types": f"with {READS}, c(tag, key, from_base, to_base, comp_from, comp_to) as (values {registry}), n as ({' union all '.join(f'''select '{b}' as from_base, {count_base(b)} as bases from r''' for b in 'ACGT')}) select * from c join n using (from_base)",
     "encode_3base": f"with {READS} select read_idx, {', '.join(f'{THREE.format(chr(115) + chr(101) + chr(113), REGISTRY[t].three_letter)} as {t}' for t in ('ct', 'ag', 'ac', 'gt', 'at', 'cg'))} from r",
     "kmer_code": f"with {READS} select read_idx, {code('x', 16)} as code from (select read_idx, substr({THREE.format('seq', '0121')}, 1, 16) as x from r where length(seq) >= 16)",

@@ -136,7 +136,8 @@ def test_sampling(spark):
     assert len(a) == 50 and a == {r.read_idx for r in sampling.sample_reads(df.repartition(7), 50).collect()}
     assert a != {r.read_idx for r in sampling.sample_reads(df, 50, seed=1).collect()}
     assert sampling.sample_reads(df, 9999).count() == 500
-    assert sampling.sample_percent(df, 0.01).count() == 1
+    assert sampling.sample_percent(df, 0.01).count() == 1 and sampling.sample_percent(df.limit(0), 5).count() == 0
+    assert {r.read_idx for r in sampling.sample_percent(df, 10).collect()} == a
     assert sampling.sample_pairs(df, df.where("read_idx < 20"), 50).count() == 20
     assert sampling.head(df, 7).count() == 7
 
