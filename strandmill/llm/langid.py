@@ -50,8 +50,8 @@ NAMES = {
     "sv": ("swe", "swedish"),
 }
 CODES = sorted(NAMES)
-#: fixed values: two- and three-letter codes that name no language
-NO_LANGUAGE = frozenset("und unk xx zz xxx zxx mis mul na nil non null none".split())
+#: fixed values: labels that name no language
+NO_LANGUAGE = frozenset("und unk unknown undefined undetermined unspecified unlabelled xx zz xxx zxx mis mul misc mixed multi various other na nil non null none nan auto default test text lang language".split())
 _SPELLINGS = {s: code for code, more in NAMES.items() for s in (code, *more)}
 
 
@@ -61,9 +61,9 @@ def label_language(label: str | None) -> str | None:
     base = re.split(r"[-_ .;,/]", s, maxsplit=1)[0]
     if s in _SPELLINGS or base in _SPELLINGS:
         return _SPELLINGS.get(s) or _SPELLINGS[base]
-    if not base.isalpha() or base in NO_LANGUAGE or base.startswith("un") or s in ("n/a", "n.a."):
+    if len(base) < 2 or not base.isalpha() or base in NO_LANGUAGE or s in ("n/a", "n.a."):
         return None
-    return "other" if 2 <= len(base) <= 3 or len(base) > 4 else None
+    return "other"
 
 
 # ------------------------------------------------------------------ windows
@@ -128,7 +128,7 @@ class ByteNet:
             pooled.append(np.maximum(top + self.p[f"b{w}"], 0))
         return np.concatenate(pooled, axis=1), kept
 
-    def log_probs(self, x: np.ndarray, block: int = 512) -> np.ndarray:
+    def log_probs(self, x: np.ndarray, block: int = 256) -> np.ndarray:
         out = np.empty((len(x), len(CODES)), np.float32)
         for a in range(0, len(x), block):
             h, _ = self.features(x[a : a + block])
@@ -174,7 +174,9 @@ class ByteNet:
             g[f"b{w}"] = b.sum(axis=0)
             to = b[:, :, None] * self.p[f"w{w}"].T[None]
             where = x[np.arange(n)[:, None, None], at[:, :, None] * STRIDE + np.arange(w)]
-            np.add.at(g["emb"], where.ravel(), to.reshape(-1, EMBED))
+            where, to = where.ravel(), to.reshape(-1, EMBED)
+            for k in range(EMBED):
+                g["emb"][:, k] += np.bincount(where, to[:, k], 256)
         return g
 
 
@@ -291,11 +293,13 @@ def stretches(docs: DataFrame, net: ByteNet) -> DataFrame:
 def document_languages(found: DataFrame, min_words: int = MIN_WORDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(doc_id, label, lang, words, confidence, main_words, others): the main language.
 
+    The main language has most words in stretches of at least ``min_confidence``
+    (keyboard noise stays below it), or most words where there are none.
     ``others`` are the further languages with ``min_words`` in one stretch of at
     least ``min_confidence``.
     """
-    per = found.groupBy("doc_id", "label", "lang").agg(F.sum("words").alias("w"), F.max(F.when(F.col("confidence") >= min_confidence, F.col("words"))).alias("longest"), F.sum(F.col("words") * F.col("confidence")).alias("sure"))
-    best = F.max_by(F.struct("lang", "w", "sure"), F.struct(F.col("w"), F.negate(F.ascii("lang") * 256 + F.ascii(F.substring("lang", 2, 1)))))
+    per = found.groupBy("doc_id", "label", "lang").agg(F.sum("words").alias("w"), F.sum(F.when(F.col("confidence") >= min_confidence, F.col("words")).otherwise(0)).alias("told"), F.max(F.when(F.col("confidence") >= min_confidence, F.col("words"))).alias("longest"), F.sum(F.col("words") * F.col("confidence")).alias("sure"))
+    best = F.max_by(F.struct("lang", "w", "sure"), F.struct(F.col("told"), F.col("w"), F.negate(F.ascii("lang") * 256 + F.ascii(F.substring("lang", 2, 1)))))
     doc = per.groupBy("doc_id", "label").agg(F.sum("w").alias("words"), best.alias("m"), F.collect_list(F.when(F.col("longest") >= min_words, F.col("lang"))).alias("long_in"))
     doc = doc.where(F.col("words") >= min_words)
     return doc.select(

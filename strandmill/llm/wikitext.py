@@ -33,7 +33,6 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
 _EXT = re.compile(r"\[(?:https?:|ftp:|mailto:)?//[^\s\]]*\s*([^\]]*)\]|\[(?:https?|ftp|mailto):[^\s\]]*\s*([^\]]*)\]")
 _QUOTES = re.compile(r"'{2,}")
-_HEADING = re.compile(r"^=+\s*(.*?)\s*=+\s*$")
 _CELL_ATTR = re.compile(r'^[^|\[\]]*=\s*"[^"]*"[^|\[\]]*\|(?!\|)')
 WORD = re.compile(r"[^\W_]+")
 
