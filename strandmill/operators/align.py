@@ -194,9 +194,8 @@ def mock_call(genome: DataFrame, target: str = "C") -> DataFrame:
 
     With chance ``accuracy`` a site is methylated with chance 0.7, else 0.3.
     """
-    spark = genome.sparkSession
-    mocks = spark.createDataFrame([(n, int(a * 65536)) for n, a in MOCKS.items()], "aligner string, sharp int")
-    sites = genome.where(F.col("base") == target).crossJoin(F.broadcast(mocks))  # four rows
+    mocks = F.array(*[F.struct(F.lit(n).alias("aligner"), F.lit(int(a * 65536)).alias("sharp")) for n, a in MOCKS.items()])
+    sites = genome.where(F.col("base") == target).select("chrom", "pos", F.explode(mocks).alias("k")).select("chrom", "pos", "k.aligner", "k.sharp")
     pos = F.col("pos").cast("string")
     sharp = _share(F.lit("n"), F.col("aligner"), pos) < F.col("sharp")
     meth = _share(F.lit("m"), F.col("aligner"), pos) < F.when(sharp, int(0.7 * 65536)).otherwise(int(0.3 * 65536))

@@ -7,7 +7,6 @@ joins the parts into one file by streaming bytes, without holding rows.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,16 +65,29 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 # ------------------------------------------------------------------ sinks
 def single_file(lines: DataFrame, path: str, first: bytes = b"") -> str:
-    """One file from a frame of one string column, in the frame's order."""
-    folder = f"{shared_dir(lines.sparkSession)}/export-{uuid.uuid4().hex}"
+    """One file from a frame of one string column, in the frame's order.
+
+    Parts are written by the tasks and joined by copying streams between file
+    systems, so any folder that Spark can reach will do and no row is held.
+    """
+    spark = lines.sparkSession
+    folder = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
     lines.write.text(folder)
-    local = folder.removeprefix("file://")
-    with open(path, "wb") as out:
-        out.write(first)
-        for part in sorted(p for p in os.listdir(local) if p.startswith("part-")):
-            with open(f"{local}/{part}", "rb") as f:
-                while piece := f.read(1 << 20):
-                    out.write(piece)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    source, target = hadoop.fs.Path(folder), hadoop.fs.Path(path)
+    files, place = source.getFileSystem(conf), target.getFileSystem(conf)
+    place.setWriteChecksum(False)
+    out = place.create(target, True)
+    try:
+        if first:
+            out.write(bytearray(first))
+        for part in sorted(s.getPath().toString() for s in files.listStatus(source)):
+            if part.rpartition("/")[2].startswith("part-"):
+                read = files.open(hadoop.fs.Path(part))
+                hadoop.io.IOUtils.copyBytes(read, out, conf, False)
+                read.close()
+    finally:
+        out.close()
     return path
 
 
