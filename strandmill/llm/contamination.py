@@ -2,20 +2,21 @@
 
 One pass over the corpus turns markup into the words a reader sees, codes them
 by the vocabulary of the passages and keeps the positions of every passage
-n-gram. Those hits (a small part of the corpus) are written once. From them the
-corpus frequency of each n-gram is counted, and the rarest n-gram of every
-window of ``run`` passage words becomes a seed: any copy of ``run`` consecutive
-words holds at least one seed, so no exact copy is missed. N-grams of at most
-``rare_docs`` documents are seeds as well, so that edited copies start too, while
-boilerplate phrases start nothing. Seeds join documents to items; each pair is then aligned
-word by word (Smith-Waterman, linear gaps), which also scores edited copies.
+n-gram. Those hits (a small part of the corpus) are written once. Every n-gram is
+a seed, however many documents have it, so what is found in a document doesn't
+depend on the rest of the corpus. Seeds join documents to items; the hits of a
+pair are cut into stretches wherever their diagonals are further apart than the
+passage is long, and each stretch of ``least_hits`` hits or more (one for
+passages under ``3 * gram`` words) is aligned word by word (Smith-Waterman, linear
+gaps), which also scores edited copies. A run of ``gram + least_hits - 1`` equal
+words is never missed; a copy edited so densely that fewer hits are left is.
 
 The passages are a stated query set. They are worked off in blocks of at most
 ``block_words`` words, so what is sent to all tasks is bounded whatever the size
 of the set; a set beyond one block costs one corpus pass a block.
 
 Defined results: null or empty texts and passages have no words and match
-nothing; passages under ``run`` words are matched as a whole; equal passages of
+nothing; passages of at most ``gram`` words are seeded as a whole; equal passages of
 different items are all reported; rows that repeat a doc_id are one document,
 shown by its best text; whole texts are read, of any length.
 """
@@ -24,14 +25,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .hashing import mix64
 from .wikitext import plain_words, words
 
-GRAM, RUN, BLOCK_WORDS, RARE_DOCS = 8, 12, 500_000, 50
+GRAM, RUN, BLOCK_WORDS = 8, 12, 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _U = np.uint64
 
@@ -41,7 +42,7 @@ def _gram_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     size = len(ids) - n + 1
     if size <= 0:
         return np.zeros(0, _U)
-    h = np.zeros(size, _U)
+    h = np.full(size, n, _U)
     for i in range(n):
         h = mix64(h * _U(1000003) + ids[i : i + size].astype(np.int64).view(_U))
     return h
@@ -64,13 +65,16 @@ def item_blocks(items: DataFrame, block_words: int):
 class Passages:
     """A block of passages as word codes and n-grams."""
 
-    def __init__(self, block: list[tuple[int, list[str]]], gram: int, run: int):
-        self.gram, self.run = gram, run
+    def __init__(self, block: list[tuple[int, list[str]]], gram: int):
         self.vocab: dict[str, int] = {}
         self.items = {i: np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int32) for i, w in block}
-        hashes = {i: _gram_hashes(w, gram) for i, w in self.items.items()}
+        # a passage of fewer words is one n-gram of its own length
+        hashes = {i: _gram_hashes(w, min(gram, len(w))) if len(w) else np.zeros(0, _U) for i, w in self.items.items()}
+        self.lengths = sorted({min(gram, len(w)) for w in self.items.values() if len(w)})
         self.grams = np.unique(np.concatenate([np.zeros(0, _U), *hashes.values()]))
         self.at = [(i, int(g), p) for i, h in hashes.items() for p, g in enumerate(np.searchsorted(self.grams, h))]
+        # short passages have few n-grams: one starts an alignment
+        self.short = {i for i, w in self.items.items() if len(w) < 3 * gram}
 
 
 def hits(docs: DataFrame, block: Passages) -> DataFrame:
@@ -79,7 +83,7 @@ def hits(docs: DataFrame, block: Passages) -> DataFrame:
     ``ids`` are the codes of all the document's words (-1: in no passage),
     ``grams`` the numbers of the n-grams found and ``places`` their positions.
     """
-    vocab, grams, n = block.vocab, block.grams, block.gram
+    vocab, grams, lengths = block.vocab, block.grams, block.lengths
 
     def run(batches):
         for batch in batches:
@@ -88,15 +92,22 @@ def hits(docs: DataFrame, block: Passages) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 code.append(np.array([vocab.get(w, -1) for w in words(text)] if text else [], np.int32))
             flat = np.concatenate([np.zeros(0, np.int32), *(x for c in code for x in (c, np.full(1, -1, np.int32)))])
-            if len(flat) >= n and len(grams):
-                unknown = np.concatenate([[0], np.cumsum(flat < 0)])
+            unknown = np.concatenate([[0], np.cumsum(flat < 0)])
+            spots = []
+            for n in lengths:
+                if len(flat) < n:
+                    continue
                 place = np.flatnonzero(unknown[n:] == unknown[:-n])
-                h = np.zeros(len(place), _U)
+                h = np.full(len(place), n, _U)
                 for i in range(n):
                     h = mix64(h * _U(1000003) + flat[place + i].astype(np.int64).view(_U))
                 g = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
                 ok = grams[g] == h
-                place, g = place[ok], g[ok]
+                spots.append((place[ok], g[ok]))
+            if spots:
+                place, g = (np.concatenate(c) for c in zip(*spots))
+                order = np.argsort(place, kind="stable")
+                place, g = place[order], g[order]
                 starts = np.concatenate([[0], np.cumsum([len(c) + 1 for c in code])])
                 doc = np.searchsorted(starts, place, "right") - 1
                 cut = np.flatnonzero(np.diff(doc, prepend=-1, append=-2))
@@ -111,25 +122,6 @@ def hits(docs: DataFrame, block: Passages) -> DataFrame:
     return clean.mapInArrow(run, "doc_id long, ids array<int>, grams array<int>, places array<int>")
 
 
-def rare_seeds(found: DataFrame, block: Passages, rare_docs: int = RARE_DOCS) -> DataFrame:
-    """(gram, item_id, gram_at): of each window of ``run`` words the rarest n-gram, and all rare ones.
-
-    At most one row a passage word, since each is an n-gram of one place.
-    """
-    spark = found.sparkSession
-    common = found.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("docs"))
-    # joined, not unioned with a counter: n-grams of no document can't seed anything but keep their place
-    place = spark.createDataFrame(block.at or [(0, -1, 0)], "item_id long, gram int, gram_at int")
-    span = block.run - block.gram
-    w = Window.partitionBy("item_id").orderBy("gram_at").rowsBetween(0, span)
-    ranked = place.join(common, "gram", "left").withColumn("last", F.max("gram_at").over(Window.partitionBy("item_id")))
-    best = ranked.select("item_id", "gram_at", "last", F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "gram_at", "gram")).over(w).alias("s"))
-    best = best.where((F.col("gram_at") == 0) | (F.col("gram_at") <= F.col("last") - span))
-    rarest = best.where("s.docs > 0").select(F.col("s.gram").alias("gram"), "item_id", F.col("s.gram_at").alias("gram_at"))
-    rare = place.join(common.where(F.col("docs") <= rare_docs), "gram").select("gram", "item_id", "gram_at")
-    return rarest.union(rare).distinct()
-
-
 def align(docs: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(Smith-Waterman score, longest run of equal words) of each pair."""
     p = len(docs)
@@ -153,27 +145,45 @@ def align(docs: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray,
     return best, most
 
 
-def leaks_of_block(docs: DataFrame, block: Passages, rare_docs: int = RARE_DOCS) -> DataFrame:
-    """(doc_id, item_id, score, longest_run) for pairs joined by a seed."""
-    found = materialize(hits(docs, block), "passage-hits")
-    seeds = rare_seeds(found, block, rare_docs)
-    spots = found.select("doc_id", F.explode(F.arrays_zip("grams", "places")).alias("g")).select("doc_id", F.col("g.grams").alias("gram"), F.col("g.places").alias("place"))
+def _stretches(diagonals: np.ndarray, size: int, least: int):
+    """(lowest, highest) of each group of ``least`` diagonals or more, cut at gaps over ``size``.
+
+    Diagonals of one alignment of positive score are never further apart.
+    """
+    d = np.sort(diagonals)
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(d) > size) + 1, [len(d)]])
+    for a, b in zip(cut[:-1], cut[1:]):
+        if b - a >= least:
+            yield int(d[a]), int(d[b - 1])
+
+
+def leaks_of_block(docs: DataFrame, block: Passages, least_hits: int = 1) -> DataFrame:
+    """(doc_id, item_id, score, longest_run) for pairs joined by seeds."""
+    # a number a row, since rows may repeat a doc_id and then have texts of their own
+    found = materialize(hits(docs, block).withColumn("row", F.monotonically_increasing_id()), "passage-hits")
+    seeds = found.sparkSession.createDataFrame(block.at or [(0, -1, 0)], "item_id long, gram int, gram_at int")
+    near = found.select("row", F.explode(F.arrays_zip("grams", "places")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.places").alias("place"))
     # seeds: at most one a passage word of this block, bounded by block_words
-    pairs = spots.join(F.broadcast(seeds), "gram").groupBy("doc_id", "item_id").agg(F.min(F.col("place") - F.col("gram_at")).alias("low"), F.max(F.col("place") - F.col("gram_at")).alias("high"))
-    pairs = pairs.join(found.select("doc_id", "ids"), "doc_id")
-    items = block.items
+    pairs = near.join(F.broadcast(seeds), "gram").groupBy("row", "item_id").agg(F.collect_list((F.col("place") - F.col("gram_at")).cast("int")).alias("diagonals"))
+    pairs = pairs.join(found.select("row", "doc_id", "ids"), "row")
+    items, short = block.items, block.short
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            doc, item, low, high = (batch.column(c).to_pylist() for c in range(4))
-            own, seen = [], []
-            for i in range(len(doc)):
-                w, t = np.asarray(batch.column(4)[i].values, np.int32), items[item[i]]
+            docs_, items_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            doc, item, own, seen = [], [], [], []
+            for i in range(len(docs_)):
+                w, t = np.asarray(batch.column(3)[i].values, np.int32), items[items_[i]]
                 pad = len(t) // 2
-                own.append(w[max(0, low[i] - pad) : high[i] + len(t) + pad])
-                seen.append(t)
+                for low, high in _stretches(np.asarray(batch.column(2)[i].values, np.int64), len(t), 1 if items_[i] in short else least_hits):
+                    doc.append(docs_[i])
+                    item.append(items_[i])
+                    own.append(w[max(0, low - pad) : high + len(t) + pad])
+                    seen.append(t)
+            if not doc:
+                continue
             order = np.argsort([len(w) for w in own], kind="stable")
             score, longest = np.zeros(len(doc)), np.zeros(len(doc), np.int32)
             for a in range(0, len(order), 64):
@@ -181,20 +191,20 @@ def leaks_of_block(docs: DataFrame, block: Passages, rare_docs: int = RARE_DOCS)
                 s, r = align([own[i] for i in at], [seen[i] for i in at])
                 score[at] = s / (MATCH * np.array([len(seen[i]) for i in at]))
                 longest[at] = r
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array(longest)], names=["doc_id", "item_id", "score", "longest_run"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(score), pa.array(longest)], names=["doc_id", "item_id", "score", "longest_run"])
 
-    scored = pairs.select("doc_id", "item_id", "low", "high", "ids").mapInArrow(run, "doc_id long, item_id long, score double, longest_run int")
+    scored = pairs.select("doc_id", "item_id", "diagonals", "ids").mapInArrow(run, "doc_id long, item_id long, score double, longest_run int")
     return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, gram: int = GRAM, run: int = RUN, block_words: int = BLOCK_WORDS, rare_docs: int = RARE_DOCS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, gram: int = GRAM, least_hits: int = 1, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, score, longest_run) of all blocks of passages.
 
     ``score`` is the alignment score over that of a whole, unedited copy.
     """
     out = None
     for block in item_blocks(items, block_words):
-        part = leaks_of_block(docs, Passages(block, gram, run), rare_docs)
+        part = leaks_of_block(docs, Passages(block, gram), least_hits)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, longest_run int")

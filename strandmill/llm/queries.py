@@ -100,8 +100,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Copies, whole or edited: at least half of a whole copy's alignment score."""
-    found = contamination.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+    """Copies, whole or edited: at least half of a whole copy's alignment score.
+
+    Two shared 4-grams start an alignment, since edits leave only short runs.
+    """
+    found = contamination.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), gram=4, least_hits=2)
     return found.where(f"score >= 0.5 or longest_run >= {contamination.RUN}")
 
 

@@ -56,6 +56,28 @@ def test_leaks(spark):
     assert leak_rows(spark, docs, []) == {} and leak_rows(spark, [], [(10, PASSAGE)]) == {}
 
 
+def test_edited_copy_in_a_large_corpus(spark):
+    # 200 documents share every 8-gram that the edited copy has left
+    r = np.random.default_rng(6)
+    w = [f"p{i}" for i in range(60)]
+    parts = [w[a : a + 9] for a in range(0, 60, 10)]
+    edited = " ".join(" ".join([*p, "other"]) for p in parts)
+    common = [(100 + i, " ".join(" ".join([*parts[k], *r.choice(["u", "v"], 30)]) for k in r.permutation(6)), "") for i in range(200)]
+    got = leak_rows(spark, [(1, edited, ""), *common], [(10, " ".join(w))])
+    assert got[(1, 10)].score == pytest.approx((2 * 54 - 6) / 120, abs=0.02)
+    assert all((d, 10) in got for d, _, _ in common)
+
+
+def test_short_runs_and_short_passages(spark):
+    w = [f"p{i}" for i in range(60)]
+    edited = " ".join(x if k % 7 else "other" for k, x in enumerate(w))
+    docs = [(1, "x y " + edited, ""), (2, "a b c d z", ""), (3, "one two three", ""), (4, "p1 p2 p3 p4 z", "")]
+    got = leak_rows(spark, docs, [(10, " ".join(w)), (11, "two three"), (12, "a b c d e f")], gram=4, least_hits=2)
+    assert got[(1, 10)].score > 0.7 and got[(3, 11)].score == 1.0
+    assert (4, 10) not in got and got[(2, 12)].score == pytest.approx(8 / 12)
+    assert (3, 11) in leak_rows(spark, docs, [(11, "two three")])
+
+
 def test_blocks_of_items_agree(spark):
     r = np.random.default_rng(5)
     vocab = [f"w{i}" for i in range(60)]
