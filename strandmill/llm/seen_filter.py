@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import mix64
@@ -93,7 +93,7 @@ def first_in_batch(rows: DataFrame, order: Column, key: Column, batch_rows: int)
     """(batch, h, first): the first arrival of each key in its batch.
 
     ``h`` is 64 bits of the key; with n distinct keys two share it with chance
-    about n**2 / 2**65 (included in the reported error).
+    about n**2 / 2**65 (counted by ``error_report``).
     """
     keyed = rows.select(order.cast("long").alias("first"), F.xxhash64(key).alias("h"), key.isNotNull().alias("ok"))
     keyed = keyed.where("ok and first is not null").select(F.floor(F.col("first") / batch_rows).cast("long").alias("batch"), "h", "first")
@@ -182,24 +182,32 @@ def seen_before(rows: DataFrame, order: Column, key: Column, **params) -> DataFr
     return every.join(new, F.col("first") == F.col("new_first"), "left").select("first", F.col("new_first").isNull().alias("seen"))
 
 
-def error_report(rows: DataFrame, order: Column, key: Column, *, bits: int, **params) -> DataFrame:
+def error_report(rows: DataFrame, order: Column, key: Column, *, bits: int = 32, batch_rows: int = 1 << 17, **params) -> DataFrame:
     """Per batch: distinct keys, filters probed, stated and measured error.
 
     ``stated`` is the mean of 1 - (1 - 2**-bits)**probes over the batch's keys
-    that are truly new; ``wrong`` counts keys called seen although new (the
-    other error cannot happen). Truth is the exact first batch of each key.
+    that are truly new, plus known / 2**64 for keys that share a hash, with
+    ``known`` keys so far (n**2 / 2**65 in sum over n keys); ``wrong`` counts keys
+    called seen although new, ``missed`` the others. Truth is the first arrival of
+    each key itself, not of its hash.
     """
-    answers, _ = probed_firsts(rows, order, key, bits=bits, **params)
-    born = answers.groupBy("h").agg(F.min("batch").alias("born"))
-    told = answers.join(born, "h")
+    answers, _ = probed_firsts(rows, order, key, bits=bits, batch_rows=batch_rows, **params)
+    keyed = rows.select(order.cast("long").alias("at"), key.alias("key")).where("key is not null and at is not null")
+    keyed = keyed.select(F.floor(F.col("at") / batch_rows).cast("long").alias("batch"), F.xxhash64("key").alias("h"), "key", "at").groupBy("batch", "h", "key").agg(F.min("at").alias("at"))
+    born = keyed.groupBy("key").agg(F.min("batch").alias("born"))
+    # only the first arrival of a hash in its batch can be told new
+    told = keyed.join(answers, ["batch", "h"]).join(born, "key").withColumn("told", F.col("seen") | (F.col("at") > F.col("first")))
     new = F.col("batch") == F.col("born")
-    rate = 1 - F.pow(F.lit(1 - 2.0**-bits), F.col("probes"))
-    return told.groupBy("batch").agg(
+    rate = -F.expm1(F.col("probes") * float(np.log1p(-(2.0**-bits))))
+    per = told.groupBy("batch").agg(
         F.count(F.lit(1)).alias("keys"),
         F.count_if(new).alias("new_keys"),
         F.max("probes").alias("filters_probed"),
-        F.count_if(new & F.col("seen")).alias("wrong"),
-        F.count_if(~new & ~F.col("seen")).alias("missed"),
+        F.count_if(new & F.col("told")).alias("wrong"),
+        F.count_if(~new & ~F.col("told")).alias("missed"),
         F.coalesce(F.avg(F.when(new, rate)), F.lit(0.0)).alias("stated_rate"),
-        F.coalesce(F.avg(F.when(new, F.col("seen").cast("double"))), F.lit(0.0)).alias("measured_rate"),
+        F.coalesce(F.avg(F.when(new, F.col("told").cast("double"))), F.lit(0.0)).alias("measured_rate"),
     )
+    # one row a batch, so a single window over them is small
+    known = F.sum("new_keys").over(Window.orderBy("batch"))
+    return per.withColumn("stated_rate", F.when(F.col("new_keys") > 0, F.col("stated_rate") + known / 2.0**64).otherwise(F.col("stated_rate")))

@@ -55,3 +55,18 @@ def test_report(spark):
     wrong, stated = sum(r.wrong for r in new), sum(r.stated_rate * r.new_keys for r in new)
     assert abs(wrong - stated) < 5 * max(1, stated) ** 0.5
     assert got[5].filters_probed == 2  # one generation of four batches and one batch
+
+
+def test_report_counts_keys_not_hashes(spark, monkeypatch):
+    # a hash of four values: different keys share one, and that is wrong
+    whole = F.xxhash64
+    monkeypatch.setattr(sf.F, "xxhash64", lambda *c: F.pmod(whole(*c), F.lit(4)))
+    df = spark.createDataFrame([(i, f"k{i}") for i in range(40)], "read_idx bigint, umi string")
+    got = sf.error_report(df, F.col("read_idx"), F.col("umi"), batch_rows=10).collect()
+    assert sum(r.new_keys for r in got) == 40 and sum(r.wrong for r in got) == 36 and all(r.missed == 0 for r in got)
+
+
+def test_report_has_the_answers_own_width(spark):
+    df = spark.createDataFrame([(i * 40_000, f"k{i}") for i in range(40)], "read_idx bigint, umi string")
+    last = sf.error_report(df, F.col("read_idx"), F.col("umi")).orderBy("batch").collect()[-1]
+    assert 0 < last.stated_rate < 1e-8 and last.wrong == 0
