@@ -31,24 +31,41 @@ def ship(spark: SparkSession) -> None:
     _shipped_to.add(app)
 
 
+#: folder of each application, where it was chosen here
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach, for written intermediate tables.
+    """This application's folder for intermediate tables, reachable by every executor.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, a single machine) a fresh local folder is made and remembered.
+    The session names the parent in ``spark.checkpoint.dir``. Where that is unset,
+    a local master gets a fresh temporary folder, remembered for the application;
+    any other master is an error, since a folder of one machine won't do there.
+    The folder is deleted when the driver ends.
     """
+    context = spark.sparkContext
+    app = context.applicationId
+    if app in _own_dirs:
+        return _own_dirs[app]
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         given = tempfile.mkdtemp(prefix="strandmill-")
-        spark.conf.set("spark.checkpoint.dir", given)
-    return given.rstrip("/") + "/strandmill"
+    folder = f"{given.rstrip('/')}/strandmill-{app}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    _own_dirs[app] = folder
+    return folder
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts the lineage: what follows survives lost executors and may read the
-    rows several times without repeating the work before.
+    Runs a job at once. Cuts the lineage: what follows survives lost executors
+    and may read the rows several times without repeating the work before.
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
