@@ -1,24 +1,29 @@
 """Evaluation passages inside a training corpus.
 
 One pass over the corpus turns markup into the words a reader sees, codes them
-by the vocabulary of the passages and keeps the positions of every passage
-n-gram. Those hits (a small part of the corpus) are written once. Every n-gram is
-a seed, however many documents have it, so what is found in a document doesn't
-depend on the rest of the corpus. Seeds join documents to items; the hits of a
-pair are cut into stretches wherever their diagonals are further apart than the
-passage is long, and each stretch of ``least_hits`` hits or more (one for
-passages under ``3 * gram`` words) is aligned word by word (Smith-Waterman, linear
-gaps), which also scores edited copies. A run of ``gram + least_hits - 1`` equal
-words is never missed; a copy edited so densely that fewer hits are left is.
+by the vocabulary of the passages and finds every passage n-gram. These seeds
+join documents to passages. A shared n-gram alone says little; what counts is how
+many hits of a passage lie on neighbouring diagonals (place in the document less
+place in the passage): ``needed`` hits within a quarter of the passage's length,
+that is one for eight words of the passage, and at most as many as a run of ``RUN``
+equal words has. So what is found in a document doesn't depend on the rest of the
+corpus, and common phrases start nothing. Where enough hits meet, the words around
+them, bounded by the passage's length, are aligned word by word (Smith-Waterman,
+linear gaps), which scores edited and partial copies.
+
+A run of ``RUN`` equal words is never missed. An edited copy is found while it keeps
+``needed`` of its n-grams in place: with n-grams of four words even an edit in each
+fifth word leaves enough; denser edits are missed.
 
 The passages are a stated query set. They are worked off in blocks of at most
 ``block_words`` words, so what is sent to all tasks is bounded whatever the size
-of the set; a set beyond one block costs one corpus pass a block.
+of the set; a set beyond one block costs one corpus pass a block. Documents of any
+length are read whole, in overlapping pieces of ``PIECE`` words.
 
 Defined results: null or empty texts and passages have no words and match
-nothing; passages of at most ``gram`` words are seeded as a whole; equal passages of
-different items are all reported; rows that repeat a doc_id are one document,
-shown by its best text; whole texts are read, of any length.
+nothing; rows with a null id are left out; passages of at most ``gram`` words are
+seeded as a whole; equal passages of different items are all reported; rows that
+repeat a doc_id are one document, shown by its best text.
 """
 
 from __future__ import annotations
@@ -28,98 +33,157 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .hashing import mix64
 from .wikitext import plain_words, words
 
 GRAM, RUN, BLOCK_WORDS = 8, 12, 500_000
+#: words of a passage for each hit that starts an alignment
+WORDS_A_HIT = 8
+#: words of a document looked at together; seeds expanded at a time
+PIECE, EXPAND = 50_000, 1 << 21
 MATCH, MISMATCH, GAP = 2, -1, -1
 _U = np.uint64
 
 
-def _gram_hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n word codes from each position on."""
-    size = len(ids) - n + 1
-    if size <= 0:
-        return np.zeros(0, _U)
-    h = np.full(size, n, _U)
+def _gram_hashes(ids: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the n word codes from each position on, or from the positions ``at``."""
+    at = np.arange(max(0, len(ids) - n + 1)) if at is None else at
+    h = np.full(len(at), n, _U)
     for i in range(n):
-        h = mix64(h * _U(1000003) + ids[i : i + size].astype(np.int64).view(_U))
+        h = mix64(h * _U(1000003) + ids[at + i].astype(np.int64).view(_U))
     return h
 
 
+def needed(size: int, gram: int) -> int:
+    """Hits on neighbouring diagonals that start an alignment with a passage of ``size`` words."""
+    return max(1, min(RUN - gram + 1, size // WORDS_A_HIT))
+
+
 def item_blocks(items: DataFrame, block_words: int):
-    """Lists of (item_id, words), each list of at most ``block_words`` words."""
+    """Lists of (item_id, words), each list of at most ``block_words`` words, read by the tasks."""
+
+    def read(batches):
+        for batch in batches:
+            said = [plain_words(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.list_(pa.string()))], names=["item_id", "words"])
+
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "passage").where("item_id is not null and passage is not null")
     block, size = [], 0
-    for row in items.select("item_id", "passage").where("passage is not null").orderBy("item_id").toLocalIterator():
-        w = plain_words(row["passage"])
-        if block and size + len(w) > block_words:
+    for row in rows.mapInArrow(read, "item_id long, words array<string>").orderBy("item_id", "words").toLocalIterator():
+        if block and size + len(row["words"]) > block_words:
             yield block
             block, size = [], 0
-        block.append((row["item_id"], w))
-        size += len(w)
+        block.append((row["item_id"], row["words"]))
+        size += len(row["words"])
     if block:
         yield block
 
 
 class Passages:
-    """A block of passages as word codes and n-grams."""
+    """A block of passages as word codes, and the places of each of their n-grams."""
 
     def __init__(self, block: list[tuple[int, list[str]]], gram: int):
         self.vocab: dict[str, int] = {}
-        self.items = {i: np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int32) for i, w in block}
+        self.ids = [i for i, w in block if w]
+        self.words = [np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int32) for _, w in block if w]
+        sizes = np.array([len(w) for w in self.words], np.int64)
+        self.sizes, self.needed = sizes, np.array([needed(n, gram) for n in sizes], np.int64)
         # a passage of fewer words is one n-gram of its own length
-        hashes = {i: _gram_hashes(w, min(gram, len(w))) if len(w) else np.zeros(0, _U) for i, w in self.items.items()}
-        self.lengths = sorted({min(gram, len(w)) for w in self.items.values() if len(w)})
-        self.grams = np.unique(np.concatenate([np.zeros(0, _U), *hashes.values()]))
-        self.at = [(i, int(g), p) for i, h in hashes.items() for p, g in enumerate(np.searchsorted(self.grams, h))]
-        # short passages have few n-grams: one starts an alignment
-        self.short = {i for i, w in self.items.items() if len(w) < 3 * gram}
-
-
-def hits(docs: DataFrame, block: Passages) -> DataFrame:
-    """(doc_id, ids, grams, places): documents with any passage n-gram.
-
-    ``ids`` are the codes of all the document's words (-1: in no passage),
-    ``grams`` the numbers of the n-grams found and ``places`` their positions.
+        self.lengths = sorted({min(gram, int(n)) for n in sizes})
+        hashes = [_gram_hashes(w, min(gram, len(w))) for w in self.words]
+        flat = np.concatenate([np.zeros(0, _U), *hashes])
+        order = np.argsort(flat, kind="stable")
+        self.grams, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order]
+        self.at = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for h in hashes)])[order]
+
+    def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, numbers) of all n-grams of passages in a row of word codes."""
+        unknown = np.concatenate([[0], np.cumsum(code < 0)])
+        places, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n in self.lengths:
+            if len(code) < n or not len(self.grams):
+                continue
+            place = np.flatnonzero(unknown[n:] == unknown[:-n])
+            h = _gram_hashes(code, n, place)
+            g = np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)
+            ok = self.grams[g] == h
+            places.append(place[ok])
+            numbers.append(g[ok])
+        return np.concatenate(places), np.concatenate(numbers)
+
+    def windows(self, owner: np.ndarray, place: np.ndarray, number: np.ndarray):
+        """(owner, item, lowest, highest diagonal) wherever enough hits of an item meet.
+
+        ``owner`` numbers the piece of text that a hit lies in.
+        """
+        count = self.count[number]
+        of = np.repeat(np.arange(len(number)), count)
+        spot = np.repeat(self.first[number] - np.cumsum(count) + count, count) + np.arange(len(of))
+        item, n = self.item[spot], len(self.words)
+        key = (owner[of] * n + item) << 32 | (place[of] - self.at[spot] + (1 << 30))
+        key.sort()
+        item = (key >> 32) % n
+        last = np.searchsorted(key, key + np.maximum(1, self.sizes[item] // 4), "right") - 1
+        start = np.flatnonzero(last - np.arange(len(key)) + 1 >= self.needed[item])
+        pair, low, high = key[start] >> 32, key[start], key[last[start]]
+        new = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]])) if len(start) else start
+        end = np.append(new[1:], len(start)) - 1 if len(start) else start
+        diagonal = lambda k: (k & 0xFFFFFFFF) - (1 << 30)
+        return pair[new] // n, pair[new] % n, diagonal(low[new]), diagonal(high[end])
+
+
+def _stretches(low: int, high: int, size: int):
+    """A range of diagonals in parts of at most two passages' length, which overlap by one."""
+    while high - low > 2 * size:
+        yield low, low + 2 * size
+        low += size
+    yield low, high
+
+
+def windows(docs: DataFrame, block: Passages) -> DataFrame:
+    """(doc_id, item, words): a row wherever enough seeds of a passage meet.
+
+    ``words`` are the codes of the words around (-1: in no passage).
     """
-    vocab, grams, lengths = block.vocab, block.grams, block.lengths
+    longest = int(block.sizes.max(initial=1))
+
+    def pieces(code):
+        """(offset, codes): overlapping parts, so that each window lies whole in one."""
+        step = max(PIECE, 8 * longest)
+        return [(a, code[a : a + step + 6 * longest]) for a in range(0, max(1, len(code)), step)]
+
+    def found(batch):
+        """Pieces of the batch's documents with their hits, a bounded number of expanded seeds at a time."""
+        held, size = [], 0
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            code = np.array([block.vocab.get(w, -1) for w in words(text)] if text else [], np.int32)
+            for _, part in pieces(code):
+                place, number = block.hits(part)
+                if len(place):
+                    held.append((doc, part, place, number))
+                    size += int(block.count[number].sum())
+            if size > EXPAND:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
 
     def run(batches):
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            docs_, code = batch.column(0).to_pylist(), []
-            for text in batch.column(1).to_pylist():
-                code.append(np.array([vocab.get(w, -1) for w in words(text)] if text else [], np.int32))
-            flat = np.concatenate([np.zeros(0, np.int32), *(x for c in code for x in (c, np.full(1, -1, np.int32)))])
-            unknown = np.concatenate([[0], np.cumsum(flat < 0)])
-            spots = []
-            for n in lengths:
-                if len(flat) < n:
-                    continue
-                place = np.flatnonzero(unknown[n:] == unknown[:-n])
-                h = np.full(len(place), n, _U)
-                for i in range(n):
-                    h = mix64(h * _U(1000003) + flat[place + i].astype(np.int64).view(_U))
-                g = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
-                ok = grams[g] == h
-                spots.append((place[ok], g[ok]))
-            if spots:
-                place, g = (np.concatenate(c) for c in zip(*spots))
-                order = np.argsort(place, kind="stable")
-                place, g = place[order], g[order]
-                starts = np.concatenate([[0], np.cumsum([len(c) + 1 for c in code])])
-                doc = np.searchsorted(starts, place, "right") - 1
-                cut = np.flatnonzero(np.diff(doc, prepend=-1, append=-2))
-                for a, b in zip(cut[:-1], cut[1:]):
-                    d = doc[a]
-                    for column, v in zip(out, (docs_[d], code[d], g[a:b].astype(np.int32), (place[a:b] - starts[d]).astype(np.int32))):
-                        column.append(v)
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, kind) for c in out[1:])], names=["doc_id", "ids", "grams", "places"])
+            for held in found(batch):
+                owner = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
+                out: tuple[list, list, list] = ([], [], [])
+                spans = block.windows(owner, *(np.concatenate([h[i] for h in held]) for i in (2, 3)))
+                for own, item, low, high in zip(*(x.tolist() for x in spans)):
+                    n = int(block.sizes[item])
+                    for a, b in _stretches(low, high, n):
+                        for column, v in zip(out, (held[own][0], item, held[own][1][max(0, a - n // 2) : b + n + n // 2])):
+                            column.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int32()))], names=["doc_id", "item", "words"])
 
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return clean.mapInArrow(run, "doc_id long, ids array<int>, grams array<int>, places array<int>")
+    return clean.mapInArrow(run, "doc_id long, item int, words array<int>")
 
 
 def align(docs: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,67 +209,38 @@ def align(docs: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray,
     return best, most
 
 
-def _stretches(diagonals: np.ndarray, size: int, least: int):
-    """(lowest, highest) of each group of ``least`` diagonals or more, cut at gaps over ``size``.
-
-    Diagonals of one alignment of positive score are never further apart.
-    """
-    d = np.sort(diagonals)
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(d) > size) + 1, [len(d)]])
-    for a, b in zip(cut[:-1], cut[1:]):
-        if b - a >= least:
-            yield int(d[a]), int(d[b - 1])
-
-
-def leaks_of_block(docs: DataFrame, block: Passages, least_hits: int = 1) -> DataFrame:
-    """(doc_id, item_id, score, longest_run) for pairs joined by seeds."""
-    # a number a row, since rows may repeat a doc_id and then have texts of their own
-    found = materialize(hits(docs, block).withColumn("row", F.monotonically_increasing_id()), "passage-hits")
-    seeds = found.sparkSession.createDataFrame(block.at or [(0, -1, 0)], "item_id long, gram int, gram_at int")
-    near = found.select("row", F.explode(F.arrays_zip("grams", "places")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.places").alias("place"))
-    # seeds: at most one a passage word of this block, bounded by block_words
-    pairs = near.join(F.broadcast(seeds), "gram").groupBy("row", "item_id").agg(F.collect_list((F.col("place") - F.col("gram_at")).cast("int")).alias("diagonals"))
-    pairs = pairs.join(found.select("row", "doc_id", "ids"), "row")
-    items, short = block.items, block.short
+def leaks_of_block(docs: DataFrame, block: Passages) -> DataFrame:
+    """(doc_id, item_id, score, longest_run) for documents and passages joined by seeds."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            docs_, items_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            doc, item, own, seen = [], [], [], []
-            for i in range(len(docs_)):
-                w, t = np.asarray(batch.column(3)[i].values, np.int32), items[items_[i]]
-                pad = len(t) // 2
-                for low, high in _stretches(np.asarray(batch.column(2)[i].values, np.int64), len(t), 1 if items_[i] in short else least_hits):
-                    doc.append(docs_[i])
-                    item.append(items_[i])
-                    own.append(w[max(0, low - pad) : high + len(t) + pad])
-                    seen.append(t)
-            if not doc:
-                continue
+            items = batch.column(1).to_pylist()
+            own = [np.asarray(w.values, np.int32) for w in batch.column(2)]
             order = np.argsort([len(w) for w in own], kind="stable")
-            score, longest = np.zeros(len(doc)), np.zeros(len(doc), np.int32)
+            score, longest = np.zeros(len(own)), np.zeros(len(own), np.int32)
             for a in range(0, len(order), 64):
                 at = order[a : a + 64]
-                s, r = align([own[i] for i in at], [seen[i] for i in at])
-                score[at] = s / (MATCH * np.array([len(seen[i]) for i in at]))
+                s, r = align([own[i] for i in at], [block.words[items[i]] for i in at])
+                score[at] = s / (MATCH * block.sizes[[items[i] for i in at]])
                 longest[at] = r
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(score), pa.array(longest)], names=["doc_id", "item_id", "score", "longest_run"])
+            ids = pa.array([block.ids[i] for i in items], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(score), pa.array(longest)], names=["doc_id", "item_id", "score", "longest_run"])
 
-    scored = pairs.select("doc_id", "item_id", "diagonals", "ids").mapInArrow(run, "doc_id long, item_id long, score double, longest_run int")
-    return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"))
+    return windows(docs, block).mapInArrow(run, "doc_id long, item_id long, score double, longest_run int")
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, gram: int = GRAM, least_hits: int = 1, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, score, longest_run) of all blocks of passages.
 
-    ``score`` is the alignment score over that of a whole, unedited copy.
+    ``score`` is the alignment score over that of a whole, unedited copy. Reads the
+    passages at once (a job); an item whose id repeats is reported once, by its best.
     """
     out = None
     for block in item_blocks(items, block_words):
-        part = leaks_of_block(docs, Passages(block, gram), least_hits)
+        part = leaks_of_block(docs, Passages(block, gram))
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, longest_run int")
-    return out
+    return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"))
