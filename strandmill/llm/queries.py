@@ -177,6 +177,10 @@ ORACLES: dict[str, str] = {
       select least(p.read_idx, q.read_idx) as read_idx_a, greatest(p.read_idx, q.read_idx) as read_idx_b from hit join g x on x.id = a join g y on y.id = b join ins p on p.t = x.t join ins q on q.t = y.t""",
     "p2_found": """with k as (select read_idx, regexp_replace(upper(trim(umi)), '[^ACGT]', 'N', 'g') as k from reads)
       select read_idx from (select read_idx, min(read_idx) over (partition by k) as first from k where length(k) >= 4) where read_idx > first""",
+    "p2_error": """with k as (select read_idx, read_idx // 131072 as batch, regexp_replace(upper(trim(umi)), '[^ACGT]', 'N', 'g') as k from reads),
+      f as (select batch, k, min(read_idx) over (partition by k) // 131072 as born from k where length(k) >= 4),
+      b as (select batch, count(distinct k) as keys, count(distinct k) filter (batch = born) as new_keys, (select sum(batch // 8 ** i::int % 8) from range(8) t(i))::int as filters_probed from f group by batch)
+      select batch, keys, new_keys, filters_probed, 0 as wrong, 0 as missed, case when new_keys = 0 then 0 else filters_probed / 2.0::double ** 32 + sum(new_keys) over (order by batch) / 2.0::double ** 64 end as stated_rate, 0.0 as measured_rate from b""",
     "p3_percentiles": _percentiles("chrom, measure", SHARES),
     "p3_daily": _percentiles("chrom, day, measure", [0.1, 0.5, 0.9]),
     "p4_found": "with r as (select upper(seq) as seq from reads where trim(seq) <> '') select seq from r group by seq having count(*) >= 0.005 * (select count(*) from r)",

@@ -1,17 +1,24 @@
 """Has this key been seen before? Sealed batches as peeled fingerprint filters.
 
-The stream of rows is cut into batches by a rising order column. Every sealed
-batch leaves one immutable fingerprint filter per shard of the key space, built
-by peeling (three slots a key, fingerprints XOR to the key's own). Sealed
-batches are grouped into generations (``fan_out`` batches, then ``fan_out**2``
-and so on), each with its own filter, so a row probes a number of filters that
-grows with the logarithm of the number of batches. Keys inside the row's own
-batch are handled exactly.
-
-Cost: rows are first reduced to one per (batch, key) with map-side combine, so
-a key that holds a third of all rows is one row a batch and task. Shards are
-sized by the number of reduced rows; no task holds more than about
-``shard_keys`` keys. Nothing but counts reaches the driver.
+The stream of rows is cut into batches by a rising order column. A sealed batch
+leaves immutable fingerprint filters, built by peeling (three slots a key,
+fingerprints XOR to the key's own). Batches are grouped into generations of
+``fan_out``, ``fan_out**2`` and so on, the tiers. A row probes in each tier only the
+complete generations before its own inside the same generation of the tier above:
+at most ``fan_out - 1`` filters a tier, a number that grows with the logarithm of
+the number of batches. Keys inside the row's own batch are handled exactly.
+
+Cost: rows are first reduced to one per (batch, key) with map-side combine, so a
+key that holds a third of all rows is one row a batch and task. The key space of a
+generation is cut into shards in proportion to its batches, so a filter has about
+``shard_keys`` keys in every tier, and there are (rows / shard_keys) filters a tier.
+A task that probes holds ``fan_out`` filters and the rows of the same shard; rows are
+sorted by generation, so each filter meets one range of them. Work and shuffled rows
+grow as rows times tiers. Nothing but two bounds reaches the driver.
+
+Filters outlive a run: ``sealed_filters`` gives them as a table, and a later run
+answers only rows of batches from ``since`` on with ``sealed`` and builds only the
+generations that became complete since then.
 
 Defined results: null keys or null order values are never "seen"; repeated
 order values in one batch count as one arrival, so of equal rows none comes
@@ -28,7 +35,8 @@ from pyspark.sql import functions as F
 from .hashing import mix64
 
 _U = np.uint64
-FILTER_SCHEMA = "shard int, tier int, generation long, n_keys long, seed long, blob binary"
+BATCH_ROWS, FAN_OUT, BITS, SHARD_KEYS = 1 << 17, 8, 32, 1 << 14
+FILTER_SCHEMA = "tier int, generation long, shard long, n_keys long, seed long, blob binary"
 
 
 def _slots(keys: np.ndarray, seed: int, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -89,100 +97,145 @@ def probe_filter(keys: np.ndarray, seed: int, table: np.ndarray) -> np.ndarray:
     return (table[i0] ^ table[i1] ^ table[i2]) == fp.astype(table.dtype)
 
 
-def first_in_batch(rows: DataFrame, order: Column, key: Column, batch_rows: int) -> DataFrame:
-    """(batch, h, first): the first arrival of each key in its batch.
+def first_in_batch(rows: DataFrame, order: Column, key: Column, batch_rows: int, base: int = 0) -> DataFrame:
+    """(batch, h, first): the first arrival of each key in its batch; batches count from ``base``.
 
     ``h`` is 64 bits of the key; with n distinct keys two share it with chance
     about n**2 / 2**65 (counted by ``error_report``).
     """
     keyed = rows.select(order.cast("long").alias("first"), F.xxhash64(key).alias("h"), key.isNotNull().alias("ok"))
-    keyed = keyed.where("ok and first is not null").select(F.floor(F.col("first") / batch_rows).cast("long").alias("batch"), "h", "first")
+    keyed = keyed.where("ok and first is not null").select((F.floor(F.col("first") / batch_rows).cast("long") - base).alias("batch"), "h", "first")
     return keyed.groupBy("batch", "h").agg(F.min("first").alias("first"))
 
 
-def seal(firsts: DataFrame, shards: int, tiers: int, fan_out: int, bits: int) -> DataFrame:
-    """One filter row for each shard and generation, of every tier."""
-    widths = [fan_out**t for t in range(tiers)]
-    keyed = firsts.select(
-        F.expr(f"cast(pmod(h, {shards}) as int)").alias("shard"),
-        F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), F.floor(F.col("batch") / w).cast("long").alias("generation")) for t, w in enumerate(widths)])).alias("g"),
-        "h",
-    ).select("shard", "g.tier", "g.generation", "h")
+def plan_tiers(batches: int, fan_out: int) -> int:
+    tiers = 1
+    while fan_out**tiers < batches:
+        tiers += 1
+    return tiers
+
+
+def _by_tier(tiers: int, fan_out: int, shards: int) -> Column:
+    """A struct for each tier: tier, generation, the generation above (``parent``) and shard."""
+    one = lambda t: F.struct(
+        F.lit(t).alias("tier"),
+        F.floor(F.col("batch") / fan_out**t).cast("long").alias("generation"),
+        F.floor(F.col("batch") / fan_out ** (t + 1)).cast("long").alias("parent"),
+        F.expr(f"pmod(h, {shards * fan_out**t}L)").alias("shard"),
+        F.lit(fan_out**t).cast("long").alias("width"),
+    )
+    return F.explode(F.array(*map(one, range(tiers)))).alias("g")
 
-    def build(group: pa.Table) -> pa.Table:
-        keys = np.unique(group["h"].to_numpy().view(np.uint64))
-        seed, table = build_filter(keys, bits)
-        one = group.slice(0, 1)
-        return pa.table(
-            {"shard": one["shard"], "tier": one["tier"], "generation": one["generation"], "n_keys": pa.array([len(keys)], pa.int64()), "seed": pa.array([seed], pa.int64()), "blob": pa.array([table.tobytes()], pa.binary())}
-        )
 
-    return keyed.groupBy("shard", "tier", "generation").applyInArrow(build, FILTER_SCHEMA)
+def open_from(since: int, last: int, tiers: int, fan_out: int) -> int:
+    """First batch whose keys are needed to seal what became complete in (since, last]."""
+    starts = [since]
+    for t in range(tiers):
+        w = fan_out**t
+        starts += [g * w for g in (since // w, since // w + 1) if since < (g + 1) * w <= last and g % fan_out != fan_out - 1]
+    return min(starts)
 
 
-def probe(firsts: DataFrame, filters: DataFrame, shards: int, tiers: int, fan_out: int, bits: int) -> DataFrame:
-    """(batch, h, first, seen, probes): each row against all earlier batches.
+def seal(firsts: DataFrame, tiers: int, fan_out: int, bits: int, shards: int, last: int, since: int = 0) -> DataFrame:
+    """Filters of all generations that some batch up to ``last`` probes and none up to ``since`` did.
 
-    Batches before b are covered by the sealed generations of each tier that
-    lie inside b's open generation of the tier above.
+    The last generation of a parent is never probed, so it gets no filter.
     """
-    kind = _width(bits)
+    keyed = firsts.select(_by_tier(tiers, fan_out, shards), "h").select("g.*", "h")
+    end = (F.col("generation") + 1) * F.col("width")
+    keyed = keyed.where((end > since) & (end <= last) & (F.pmod("generation", F.lit(fan_out)) != fan_out - 1))
 
-    def look(rows: pa.Table, sealed: pa.Table) -> pa.Table:
-        batch = rows["batch"].to_numpy()
-        keys = rows["h"].to_numpy().view(np.uint64)
-        seen, probes = np.zeros(len(batch), bool), np.zeros(len(batch), np.int32)
-        for tier, gen, seed, blob in zip(*(sealed[c].to_pylist() for c in ("tier", "generation", "seed")), sealed["blob"]):
-            own = batch // fan_out**tier
-            use = own > gen
-            if tier < tiers - 1:
-                use &= own // fan_out == gen // fan_out
-            at = np.flatnonzero(use)
-            if len(at):
-                seen[at] |= probe_filter(keys[at], seed, np.frombuffer(blob.as_buffer(), kind))
-                probes[at] += 1
-        return pa.table({"batch": rows["batch"], "h": rows["h"], "first": rows["first"], "seen": pa.array(seen), "probes": pa.array(probes)})
+    def build(group: pa.Table) -> pa.Table:
+        keys = np.unique(group["h"].to_numpy().view(np.uint64))
+        seed, table = build_filter(keys, bits)
+        one = group.slice(0, 1)
+        made = {"n_keys": pa.array([len(keys)], pa.int64()), "seed": pa.array([seed], pa.int64()), "blob": pa.array([table.tobytes()], pa.binary())}
+        return pa.table({c: one[c] for c in ("tier", "generation", "shard")} | made)
 
-    by = F.expr(f"cast(pmod(h, {shards}) as int)")
-    return (
-        firsts.withColumn("shard", by)
-        .groupBy("shard")
-        .cogroup(filters.groupBy("shard"))
-        .applyInArrow(look, "batch long, h long, first long, seen boolean, probes int")
-    )
+    return keyed.select("tier", "generation", "shard", "h").groupBy("tier", "generation", "shard").applyInArrow(build, FILTER_SCHEMA)
 
 
-def plan_tiers(batches: int, fan_out: int) -> int:
-    tiers = 1
-    while fan_out**tiers < batches:
-        tiers += 1
-    return tiers
+def look_up(generation: np.ndarray, keys: np.ndarray, filters: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(seen, filters probed) of rows against the (generation, seed, table) before their own."""
+    order = np.argsort(generation, kind="stable")
+    own, keys = generation[order], keys[order]
+    seen, probes = np.zeros(len(own), bool), np.zeros(len(own), np.int32)
+    for gen, seed, table in filters:
+        at = int(np.searchsorted(own, gen, "right"))
+        seen[at:] |= probe_filter(keys[at:], seed, table)
+        probes[at:] += 1
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return seen[back], probes[back]
 
 
-def probed_firsts(rows: DataFrame, order: Column, key: Column, *, batch_rows: int = 1 << 17, fan_out: int = 8, bits: int = 32, shard_keys: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """(first rows of each batch and key with their answer, the filters)."""
-    bounds = rows.agg(F.max(order.cast("long")).alias("top"), F.count(F.lit(1)).alias("n")).first()
-    shards = max(1, -(-int(bounds["n"]) // shard_keys))
-    tiers = plan_tiers(int(bounds["top"] or 0) // batch_rows + 1, fan_out)
-    firsts = first_in_batch(rows, order, key, batch_rows)
-    filters = seal(firsts, shards, tiers, fan_out, bits)
-    return probe(firsts, filters, shards, tiers, fan_out, bits), filters
+def probe(firsts: DataFrame, filters: DataFrame, tiers: int, fan_out: int, bits: int, shards: int) -> DataFrame:
+    """(batch, h, first, seen, probes): each row against all earlier batches."""
+    kind = _width(bits)
 
+    def look(rows: pa.Table, sealed: pa.Table) -> pa.Table:
+        made = [(g, s, np.frombuffer(b.as_buffer(), kind)) for g, s, b in zip(sealed["generation"].to_pylist(), sealed["seed"].to_pylist(), sealed["blob"])]
+        seen, probes = look_up(rows["generation"].to_numpy(), rows["h"].to_numpy().view(np.uint64), made)
+        return pa.table({"batch": rows["batch"], "h": rows["h"], "first": rows["first"], "seen": pa.array(seen), "probes": pa.array(probes)})
 
-def seen_before(rows: DataFrame, order: Column, key: Column, **params) -> DataFrame:
+    asked = firsts.select("batch", "h", "first", _by_tier(tiers, fan_out, shards)).select("batch", "h", "first", "g.*")
+    # every row once in tier 0; in other tiers where a generation lies before its own
+    asked = asked.where((F.col("tier") == 0) | (F.pmod("generation", F.lit(fan_out)) > 0)).drop("width")
+    keys = ("tier", "parent", "shard")
+    sealed = filters.withColumn("parent", F.floor(F.col("generation") / fan_out).cast("long"))
+    told = asked.groupBy(*keys).cogroup(sealed.groupBy(*keys)).applyInArrow(look, "batch long, h long, first long, seen boolean, probes int")
+    if tiers == 1:
+        return told
+    return told.groupBy("batch", "h", "first").agg(F.max("seen").alias("seen"), F.sum("probes").cast("int").alias("probes"))
+
+
+def probed_firsts(
+    rows: DataFrame, order: Column, key: Column, *, batch_rows: int = BATCH_ROWS, fan_out: int = FAN_OUT, bits: int = BITS, shard_keys: int = SHARD_KEYS, sealed: DataFrame | None = None, since: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """(first rows of each batch and key with their answer, the filters).
+
+    Runs a job for the bounds of ``order``. With ``sealed``, the filters of an
+    earlier run whose last batch was ``since``, only batches from there on are
+    answered, and of older rows only those are read that newly complete
+    generations hold.
+    """
+    o = order.cast("long")
+    bounds = rows.agg(F.min(o).alias("low"), F.max(o).alias("top")).first()
+    low, top = (0, 0) if bounds["top"] is None else (bounds["low"], bounds["top"])
+    base = min(0, low // batch_rows)
+    last = top // batch_rows - base
+    tiers, shards = plan_tiers(last + 1, fan_out), max(1, -(-batch_rows // shard_keys))
+    if since:
+        rows = rows.where(o >= (open_from(since, last, tiers, fan_out) + base) * batch_rows)
+    firsts = first_in_batch(rows, order, key, batch_rows, base)
+    filters = seal(firsts, tiers, fan_out, bits, shards, last, since)
+    if sealed is not None:
+        filters = sealed.select(*filters.columns).unionByName(filters)
+    answers = probe(firsts.where(F.col("batch") >= since) if since else firsts, filters, tiers, fan_out, bits, shards)
+    return answers.withColumn("batch", F.col("batch") + base), filters
+
+
+def sealed_filters(rows: DataFrame, order: Column, key: Column, **params) -> DataFrame:
+    """The filters themselves, to be written and given to a later run as ``sealed``."""
+    return probed_firsts(rows, order, key, **params)[1]
+
+
+def seen_before(rows: DataFrame, order: Column, key: Column, *, batch_rows: int = BATCH_ROWS, since: int = 0, **params) -> DataFrame:
     """(first, seen) for every row with a key: did it occur in an earlier row?
 
     Only the first row of a key in its batch can be new; every other row is
     "seen". So new rows are one a key, found by the filters, and the rest
     follows from an anti join on the unique order value: no skew.
     """
-    answers, _ = probed_firsts(rows, order, key, **params)
+    answers, _ = probed_firsts(rows, order, key, batch_rows=batch_rows, since=since, **params)
     new = answers.where(~F.col("seen")).select(F.col("first").alias("new_first"))
     every = rows.where(key.isNotNull()).select(order.cast("long").alias("first")).where("first is not null")
+    if since:
+        every = every.where(F.col("first") >= since * batch_rows)
     return every.join(new, F.col("first") == F.col("new_first"), "left").select("first", F.col("new_first").isNull().alias("seen"))
 
 
-def error_report(rows: DataFrame, order: Column, key: Column, *, bits: int = 32, batch_rows: int = 1 << 17, **params) -> DataFrame:
+def error_report(rows: DataFrame, order: Column, key: Column, *, bits: int = BITS, batch_rows: int = BATCH_ROWS, **params) -> DataFrame:
     """Per batch: distinct keys, filters probed, stated and measured error.
 
     ``stated`` is the mean of 1 - (1 - 2**-bits)**probes over the batch's keys

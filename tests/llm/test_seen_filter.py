@@ -39,6 +39,41 @@ def test_against_a_set(spark, params):
     assert told(spark, rows, **params) == truth(rows)
 
 
+def test_negative_order_values(spark):
+    r = np.random.default_rng(4)
+    rows = [(int(i) - 700, f"k{r.integers(0, 300)}") for i in range(1200)]
+    assert told(spark, rows, batch_rows=16, fan_out=2, shard_keys=8) == truth(rows)
+
+
+@pytest.mark.parametrize("since", [1, 7, 8, 13, 20])
+def test_later_run_with_sealed_filters(spark, since):
+    r = np.random.default_rng(since)
+    rows = [(i, f"k{r.integers(0, 500)}") for i in range(1300)]
+    params = {"batch_rows": 50, "fan_out": 3, "shard_keys": 20}
+    cut = since * 50 + 25
+    old = spark.createDataFrame([x for x in rows if x[0] < cut], "read_idx bigint, umi string")
+    every = spark.createDataFrame(rows, "read_idx bigint, umi string")
+    sealed = sf.sealed_filters(old, F.col("read_idx"), F.col("umi"), **params)
+    again = sf.seen_before(every, F.col("read_idx"), F.col("umi"), sealed=sealed, since=since, **params)
+    assert {x["first"]: x["seen"] for x in again.collect()} == {k: v for k, v in truth(rows).items() if k >= since * 50}
+    # nothing is built twice
+    whole = sf.sealed_filters(every, F.col("read_idx"), F.col("umi"), **params).select("tier", "generation", "shard")
+    both = sf.probed_firsts(every, F.col("read_idx"), F.col("umi"), sealed=sealed, since=since, **params)[1].select("tier", "generation", "shard")
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_work_grows_with_the_rows(spark):
+    work = []
+    for n in (1000, 4000, 16_000):
+        df = spark.range(n).selectExpr("id as read_idx", "concat('k', id) as umi")
+        answers, filters = sf.probed_firsts(df, F.col("read_idx"), F.col("umi"), batch_rows=50, fan_out=4, shard_keys=10)
+        told = filters.agg(F.count(F.lit(1)), F.max("n_keys"), F.sum("n_keys")).first()
+        work.append((told[0] / n, told[1], told[2] / n, answers.agg(F.sum("probes")).first()[0] / n))
+    # filters, their keys and probes a row rise by a tier at most when the rows grow fourfold; filters don't get larger
+    for a, b in zip(work, work[1:]):
+        assert b[0] < a[0] + 0.12 and b[2] < a[2] + 1 and b[3] < a[3] + 3 and b[1] < 40
+
+
 def test_edges(spark):
     assert told(spark, [(None, None)]) == {}
     df = spark.createDataFrame([], "read_idx bigint, umi string")
