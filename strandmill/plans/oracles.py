@@ -107,8 +107,15 @@ whole = lambda c: f"(regexp_full_match(\"{c}\", '[0-9]+') and try_cast(\"{c}\" a
 LINES = f"""l as (select line_id, regexp_replace(raw_line, '\\r$', '') as s from raw_calls where regexp_matches(raw_line, '[^ \\r\\n]') and not regexp_matches(raw_line, '^(#|track |browser )')),
   f as (select line_id, s, regexp_full_match(s, '{FIELD}(?:\\t{FIELD})*') as quoted_well, regexp_full_match(s, '{FIELD}(?:\\t{FIELD}){{6}}') as seven, regexp_extract(s, '^{"".join((chr(92) + "t" if i else "") + "(" + FIELD + ")" for i in range(7))}$', {list(P5_NAMES)}) as x from l),
   v as (select line_id, quoted_well, seven, {", ".join(f'{COLUMN.format(f"x[{chr(39)}{c}{chr(39)}]")} as "{c}"' for c in P5_NAMES)} from f),
-  told as (select *, case when not quoted_well then 'quoting' when not seven then 'column_count' when chrom = '' or not ({" and ".join(whole(c) for c in P5_NAMES if c not in ("chrom", "level"))})
-    or not coalesce(regexp_full_match(level, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') and try_cast(level as double) between 0 and 1, false) or try_cast(meth_count as bigint) > try_cast(coverage as bigint) then 'invalid_value' end as reason from v)"""
+  told as (select v.*, s, case when not quoted_well then 'quoting' when not seven then 'column_count' when chrom = '' or not ({" and ".join(whole(c) for c in P5_NAMES if c not in ("chrom", "level"))})
+    or not coalesce(regexp_full_match(level, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') and try_cast(level as double) between 0 and 1, false) or try_cast(meth_count as bigint) > try_cast(coverage as bigint) then 'invalid_value' end as reason from v join f using (line_id, quoted_well, seven))"""
+
+# bytes of a line before the first that breaks it: what could be read, the line, seven columns, or the columns before the bad one
+READABLE = f'^(?:{FIELD}\\t)*(?: *"(?:[^"]|"")*$| *"(?:[^"]|"")*" *|[^"\\t]*)'
+bad_column = " ".join(f"when {c} then {i}" for i, c in enumerate(["chrom = ''", *(f"not {whole(c)}" for c in P5_NAMES[1:3]), "not coalesce(regexp_full_match(level, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') and try_cast(level as double) between 0 and 1, false)", *(f"not {whole(c)}" for c in P5_NAMES[4:])]))
+OFFSETS = LINES + f""", bad as (select line_id, reason, s, case {bad_column} else 4 end as bad_no from told join f using (line_id, s) where reason is not null),
+  spot as (select line_id, reason, case reason when 'quoting' then strlen(regexp_extract(s, '{READABLE}')) when 'column_count' then case when regexp_matches(s, '^(?:{FIELD}\\t){{7}}') then strlen(regexp_extract(s, '^(?:{FIELD}\\t){{7}}')) else strlen(s) end
+    else strlen(regexp_extract(s, '^(?:{FIELD}\\t)' || '{{' || bad_no || '}}')) end as error_offset from bad)"""
 
 MEAN = "round_even(sum((f1_score * 10000)::bigint)::double / (count(*) * 10000.0::double), 6)"
 
@@ -198,5 +205,6 @@ ORACLES: dict[str, str] = {
     "topk_aligners": f"with {RESULTS} select sample, aligner, f1_score from res order by f1_score desc, sample, aligner limit 5",
     "results_summary": f"with {RESULTS}, s as (select aligner, {MEAN} as mean_f1 from res group by 1 order by mean_f1 desc, aligner limit 1) select (select count(distinct sample) from res) as total_samples, (select count(distinct aligner) from res) as total_aligners, aligner as overall_best, mean_f1 as overall_best_f1, (select count(distinct sample) from res) as samples_with_best from s",
     "p5_found": f"with {LINES} select line_id, reason from told where reason is not null",
+    "p5_errors": f"with {OFFSETS} select file_name, reason, count(*) as lines, min(line_no) as first_line, min(error_offset) as least_offset from spot join raw_calls using (line_id) group by 1, 2",
     "p5_valid": f"""with {LINES} select line_id, chrom, {", ".join(f'"{c}"::{"double" if c == "level" else "bigint"} as "{c}"' for c in P5_NAMES[1:])} from told where reason is null""",
 }

@@ -99,7 +99,10 @@ def _counts(text: pa.Array) -> tuple[np.ndarray, pa.Array]:
 def _shares(text: pa.Array) -> tuple[np.ndarray, pa.Array]:
     ok = pc.match_substring_regex(text, r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
     plain = pc.replace_substring_regex(pc.if_else(ok, text, None), r"^\+", "")
-    value = np.array([float(x) if x is not None else np.nan for x in plain.to_pylist()])
+    try:
+        value = pc.fill_null(pc.cast(plain, pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+    except pa.ArrowInvalid:  # an exponent that no double holds
+        value = np.array([float(x) if x is not None else np.nan for x in plain.to_pylist()])
     good = (value >= 0) & (value <= 1)
     return good, pa.array(value, mask=~good)
 
