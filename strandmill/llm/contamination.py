@@ -12,8 +12,8 @@ them, bounded by the passage's length, are aligned word by word (Smith-Waterman,
 linear gaps), which scores edited and partial copies.
 
 A run of ``RUN`` equal words is never missed. An edited copy is found while it keeps
-``needed`` of its n-grams in place: with n-grams of four words even an edit in each
-fifth word leaves enough; denser edits are missed.
+``needed`` of its n-grams in place: with n-grams of three words even an edit in each
+fourth word leaves enough; denser edits are missed.
 
 The passages are a stated query set. They are worked off in blocks of at most
 ``block_words`` words, so what is sent to all tasks is bounded whatever the size
@@ -83,9 +83,11 @@ class Passages:
     """A block of passages as word codes, and the places of each of their n-grams."""
 
     def __init__(self, block: list[tuple[int, list[str]]], gram: int):
+        self.gram = gram
         self.vocab: dict[str, int] = {}
         self.ids = [i for i, w in block if w]
         self.words = [np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int32) for _, w in block if w]
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
         sizes = np.array([len(w) for w in self.words], np.int64)
         self.sizes, self.needed = sizes, np.array([needed(n, gram) for n in sizes], np.int64)
         # a passage of fewer words is one n-gram of its own length
@@ -113,9 +115,10 @@ class Passages:
         return np.concatenate(places), np.concatenate(numbers)
 
     def windows(self, owner: np.ndarray, place: np.ndarray, number: np.ndarray):
-        """(owner, item, lowest, highest diagonal) wherever enough hits of an item meet.
+        """(owner, item, lowest, highest diagonal, straight) wherever enough hits of an item meet.
 
-        ``owner`` numbers the piece of text that a hit lies in.
+        ``owner`` numbers the piece of text that a hit lies in; ``straight`` tells
+        whether one diagonal has as many hits as a run of ``RUN`` words.
         """
         count = self.count[number]
         of = np.repeat(np.arange(len(number)), count)
@@ -126,11 +129,20 @@ class Passages:
         item = (key >> 32) % n
         last = np.searchsorted(key, key + np.maximum(1, self.sizes[item] // 4), "right") - 1
         start = np.flatnonzero(last - np.arange(len(key)) + 1 >= self.needed[item])
+        alike = np.searchsorted(key, key, "right") - np.arange(len(key))
+        straight = np.concatenate([[0], np.cumsum(alike >= RUN - self.gram + 1)])
         pair, low, high = key[start] >> 32, key[start], key[last[start]]
         new = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]])) if len(start) else start
         end = np.append(new[1:], len(start)) - 1 if len(start) else start
         diagonal = lambda k: (k & 0xFFFFFFFF) - (1 << 30)
-        return pair[new] // n, pair[new] % n, diagonal(low[new]), diagonal(high[end])
+        runs = straight[last[start[end]] + 1] > straight[start[new]] if len(start) else start.astype(bool)
+        return pair[new] // n, pair[new] % n, diagonal(low[new]), diagonal(high[end]), runs
+
+    def overlap(self, item: int, code: np.ndarray) -> int:
+        """Words that a stretch of text has in common with a passage, with repeats."""
+        known, often = self.bags[item]
+        at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        return int(np.minimum(np.bincount(at[known[at] == code], minlength=len(known)), often).sum())
 
 
 def _stretches(low: int, high: int, size: int):
@@ -141,10 +153,12 @@ def _stretches(low: int, high: int, size: int):
     yield low, high
 
 
-def windows(docs: DataFrame, block: Passages) -> DataFrame:
+def windows(docs: DataFrame, block: Passages, least: float = 0.0) -> DataFrame:
     """(doc_id, item, words): a row wherever enough seeds of a passage meet.
 
-    ``words`` are the codes of the words around (-1: in no passage).
+    ``words`` are the codes of the words around (-1: in no passage). Left out is what
+    has too few words of the passage, in any order, for a score of ``least`` and no
+    straight run of ``RUN`` words.
     """
     longest = int(block.sizes.max(initial=1))
 
@@ -175,11 +189,13 @@ def windows(docs: DataFrame, block: Passages) -> DataFrame:
                 owner = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
                 out: tuple[list, list, list] = ([], [], [])
                 spans = block.windows(owner, *(np.concatenate([h[i] for h in held]) for i in (2, 3)))
-                for own, item, low, high in zip(*(x.tolist() for x in spans)):
+                for own, item, low, high, straight in zip(*(x.tolist() for x in spans)):
                     n = int(block.sizes[item])
                     for a, b in _stretches(low, high, n):
-                        for column, v in zip(out, (held[own][0], item, held[own][1][max(0, a - n // 2) : b + n + n // 2])):
-                            column.append(v)
+                        near = held[own][1][max(0, a - n // 2) : b + n + n // 2]
+                        if straight or block.overlap(item, near) >= least * n:
+                            for column, v in zip(out, (held[own][0], item, near)):
+                                column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int32()))], names=["doc_id", "item", "words"])
 
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
@@ -187,29 +203,35 @@ def windows(docs: DataFrame, block: Passages) -> DataFrame:
 
 
 def align(docs: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(Smith-Waterman score, longest run of equal words) of each pair."""
-    p = len(docs)
-    wide, long = max(map(len, docs)), max(map(len, items))
-    x, y = np.full((p, wide), -1, np.int32), np.full((p, long), -2, np.int32)
+    """(Smith-Waterman score, longest run of equal words) of each pair, pairs side by side."""
+    p, wide, long = len(docs), max(map(len, docs)), max(map(len, items))
+    x, y = np.full((wide, p), -1, np.int32), np.full((long, p), -2, np.int32)
     for i, (d, t) in enumerate(zip(docs, items)):
-        x[i, : len(d)] = d
-        y[i, : len(t)] = t
-    ramp = (-GAP * np.arange(wide + 1)).astype(np.int32)
-    h, run = np.zeros((p, wide + 1), np.int32), np.zeros((p, wide + 1), np.int32)
-    best, most = np.zeros(p, np.int32), np.zeros(p, np.int32)
+        x[: len(d), i] = d
+        y[: len(t), i] = t
+    kind = np.int16 if MATCH * (wide + long) < 1 << 15 else np.int32
+    ramp = (-GAP * np.arange(wide + 1)).astype(kind)[:, None]
+    h, run, best, most, up = (np.zeros((wide + 1, p), kind) for _ in range(5))
+    same, step = np.empty((wide, p), bool), np.empty((wide, p), kind)
     for j in range(long):
-        same = x == y[:, j, None]
-        up = np.maximum(h + GAP, 0)
-        up[:, 1:] = np.maximum(up[:, 1:], h[:, :-1] + np.where(same, MATCH, MISMATCH))
-        h = np.maximum.accumulate(up + ramp, axis=1) - ramp
-        run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
-        live = y[:, j] != -2
-        best = np.where(live, np.maximum(best, h.max(axis=1)), best)
-        most = np.maximum(most, run.max(axis=1))
-    return best, most
-
-
-def leaks_of_block(docs: DataFrame, block: Passages) -> DataFrame:
+        # padding equals nothing, so it only lowers scores
+        np.equal(x, y[j], out=same)
+        np.multiply(same, kind(MATCH - MISMATCH), out=step)
+        step += h[:-1]
+        step += kind(MISMATCH)
+        np.maximum(h + kind(GAP), 0, out=up)
+        np.maximum(up[1:], step, out=up[1:])
+        up += ramp
+        np.maximum.accumulate(up, axis=0, out=h)
+        h -= ramp
+        np.maximum(best, h, out=best)
+        np.multiply(run[:-1] + kind(1), same, out=step)
+        run[1:] = step
+        np.maximum(most, run, out=most)
+    return best.max(axis=0).astype(np.int32), most.max(axis=0).astype(np.int32)
+
+
+def leaks_of_block(docs: DataFrame, block: Passages, least: float = 0.0) -> DataFrame:
     """(doc_id, item_id, score, longest_run) for documents and passages joined by seeds."""
 
     def run(batches):
@@ -220,26 +242,27 @@ def leaks_of_block(docs: DataFrame, block: Passages) -> DataFrame:
             own = [np.asarray(w.values, np.int32) for w in batch.column(2)]
             order = np.argsort([len(w) for w in own], kind="stable")
             score, longest = np.zeros(len(own)), np.zeros(len(own), np.int32)
-            for a in range(0, len(order), 64):
-                at = order[a : a + 64]
+            for a in range(0, len(order), 128):
+                at = order[a : a + 128]
                 s, r = align([own[i] for i in at], [block.words[items[i]] for i in at])
                 score[at] = s / (MATCH * block.sizes[[items[i] for i in at]])
                 longest[at] = r
             ids = pa.array([block.ids[i] for i in items], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(score), pa.array(longest)], names=["doc_id", "item_id", "score", "longest_run"])
 
-    return windows(docs, block).mapInArrow(run, "doc_id long, item_id long, score double, longest_run int")
+    return windows(docs, block, least).mapInArrow(run, "doc_id long, item_id long, score double, longest_run int")
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, gram: int = GRAM, least: float = 0.0, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, score, longest_run) of all blocks of passages.
 
-    ``score`` is the alignment score over that of a whole, unedited copy. Reads the
+    ``score`` is the alignment score over that of a whole, unedited copy; rows with
+    less than ``least`` and without ``RUN`` equal words may be left out. Reads the
     passages at once (a job); an item whose id repeats is reported once, by its best.
     """
     out = None
     for block in item_blocks(items, block_words):
-        part = leaks_of_block(docs, Passages(block, gram))
+        part = leaks_of_block(docs, Passages(block, gram), least)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, longest_run int")

@@ -101,9 +101,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Copies, whole or edited: at least half of a whole copy's alignment score.
 
-    Seeds of four words, since edits leave only short runs.
+    Seeds of three words, since edits leave only short runs.
     """
-    found = contamination.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), gram=4)
+    found = contamination.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), gram=3, least=0.5)
     return found.where(f"score >= 0.5 or longest_run >= {contamination.RUN}")
 
 

@@ -98,12 +98,12 @@ def test_recall_of_edited_copies(spark):
         docs.append((d, " ".join([*r.choice(vocab, 200), *out, *r.choice(vocab, 200)]), ""))
         score = contamination.align([np.unique([*out, *w], return_inverse=True)[1][: len(out)]], [np.unique([*out, *w], return_inverse=True)[1][len(out) :]])[0][0]
         truth[d, i] = score / (2 * len(w))
-    got = leak_rows(spark, docs, items, gram=4)
+    got = leak_rows(spark, docs, items, gram=3, least=0.5)
     want = {k for k, v in truth.items() if v >= 0.5}
     have = {k for k in want if k in got and got[k].score >= 0.5}
     assert len(want) > 200 and len(have) >= 0.95 * len(want)
     # the same documents among others: the rest of the corpus changes nothing
-    more = leak_rows(spark, docs + [(1000 + k, t, "") for k, (_, t, _) in enumerate(docs)], items, gram=4)
+    more = leak_rows(spark, docs + [(1000 + k, t, "") for k, (_, t, _) in enumerate(docs)], items, gram=3, least=0.5)
     assert {k: v.score for k, v in more.items() if k[0] < 1000} == {k: v.score for k, v in got.items()}
 
 
