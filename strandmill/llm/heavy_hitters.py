@@ -8,6 +8,14 @@ aggregation of at most ``depth * width`` keys, whatever the input's size. The
 decoded hashes (at most ``depth / share`` pass the threshold) are checked by an
 exact count in a second pass, in which they are broadcast.
 
+An item can be missed only where in all ``depth`` rows the others in its bucket
+weigh as much as it does. The buckets of a row share all other items, so by
+Markov's inequality that has at most the chance (others / (width * own)) ** depth,
+which every answer states. ``width`` follows from ``share`` (``BUCKETS / share``), so
+the chance is at most ``BUCKETS ** -depth`` for an item of just that share; a width
+under ``4 / share`` is an error. A task emits at most depth * width rows of 66
+counters, whatever it has read; they are added up as they arrive.
+
 Defined results: null items don't count; ties are all kept; an empty table or a
 column of nulls gives an empty result; hashes of two texts are told apart in the
 exact pass because it counts texts, not hashes.
@@ -23,9 +31,10 @@ from pyspark.sql import functions as F
 from .hashing import mix64, seeds
 
 BITS = 64
+DEPTH, BUCKETS = 5, 8
 
 
-def sketch(items: DataFrame, depth: int = 4, width: int = 2048) -> DataFrame:
+def sketch(items: DataFrame, depth: int = DEPTH, width: int = 2048) -> DataFrame:
     """Merged sketch of column ``h``: (row, bucket, total, b0..b63)."""
     salt = seeds(depth, 0x6C62272E)
     names = [f"b{i}" for i in range(BITS)]
@@ -66,16 +75,20 @@ def decode(merged: DataFrame) -> DataFrame:
     return named.groupBy("h").agg(F.min("total").alias("bound"))
 
 
-def frequent_items(rows: DataFrame, item: Column, share: float, *, depth: int = 4, width: int = 2048) -> DataFrame:
-    """(item, approx_count, exact_count): items with at least ``share`` of the non-null rows.
+def frequent_items(rows: DataFrame, item: Column, share: float, *, depth: int = DEPTH, width: int | None = None) -> DataFrame:
+    """(item, approx_count, exact_count, miss_chance): items with at least ``share`` of the non-null rows.
 
-    ``approx_count`` is the sketch's upper bound. The chance to miss an item is
-    that in all ``depth`` rows its bucket holds as much of other items.
+    ``approx_count`` is the sketch's upper bound, ``miss_chance`` bounds the chance
+    that an item as frequent as this one is not found.
     """
+    width = width or max(256, int(np.ceil(BUCKETS / share)))
+    if width * share < 4:
+        raise ValueError(f"width {width} is too small for a share of {share}: at least 4 / share")
     keyed = rows.select(item.alias("item")).where("item is not null").select("item", F.xxhash64("item").alias("h"))
     merged = sketch(keyed.select("h"), depth, width)
     named = merged.groupBy().agg(F.sum(F.when(F.col("row") == 0, F.col("total"))).alias("n"))
     found = decode(merged).crossJoin(F.broadcast(named)).where(F.col("bound") >= F.lit(share) * F.col("n"))
     # at most depth / share rows pass, since buckets of one row sum to n
     exact = keyed.join(F.broadcast(found), "h").groupBy("item").agg(F.count(F.lit(1)).alias("exact_count"), F.min("bound").alias("approx_count"), F.min("n").alias("n"))
-    return exact.where(F.col("exact_count") >= F.lit(share) * F.col("n")).select("item", "approx_count", "exact_count")
+    others = (F.col("n") - F.col("exact_count")) / F.lit(float(width)) / F.col("exact_count")
+    return exact.where(F.col("exact_count") >= F.lit(share) * F.col("n")).select("item", "approx_count", "exact_count", F.pow(F.least(others, F.lit(1.0)), F.lit(float(depth))).alias("miss_chance"))

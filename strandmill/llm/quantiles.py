@@ -10,7 +10,8 @@ its own bound. Sketches of tasks, days or tables merge by pooling their buffers.
 
 Work is shared so: each task sketches its own rows for every group; the tasks'
 sketches of a group are merged in two tiers (first by group and slice of tasks,
-then by group), so no task merges more than about the square root of all.
+then by group), with as many slices as the square root of the tasks, so no task
+merges more than about that many sketches of a group.
 
 Defined results: null and NaN values and null groups are left out; a group
 without values gives no row; of n sorted values percentile p is the one at rank
@@ -183,6 +184,11 @@ def merge_sketches(parts: DataFrame, keys: list[str], k: int = K, fan_in: int =
     return _by_key(parts, keys).mapInArrow(run, schema)
 
 
+def slices_of(rows: DataFrame) -> int:
+    """Square root of the number of tasks that sketch ``rows``."""
+    return max(1, int(np.ceil(np.sqrt(rows.rdd.getNumPartitions()))))
+
+
 def merged_in_tiers(parts: DataFrame, keys: list[str], slices: int, k: int = K, fan_in: int = FAN_IN) -> DataFrame:
     """First by key and slice of tasks, then by key."""
     some = parts.withColumn("slice", F.col("slice") % slices)
@@ -201,3 +207,17 @@ def percentiles(sketches: DataFrame, keys: list[str], shares: list[float], k: in
 
     schema = ", ".join(f"{c} string" for c in keys) + ", n long, p double, value double, max_rank_error double"
     return _by_key(sketches, keys).mapInArrow(run, schema)
+
+
+def rank_check(told: DataFrame, values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys..., p, n, collapsed, holds): are stated values within their rank error of the exact rank?
+
+    Counts the values below and up to each stated one, with map-side combine; a
+    group's stated values travel as one row.
+    """
+    asked = told.groupBy(*keys).agg(F.collect_list(F.struct("p", "n", F.col("value").alias("said"), "max_rank_error")).alias("q"))
+    each = values.select(*keys, value).join(asked, keys).select(*keys, value, F.explode("q").alias("q"))
+    counted = each.groupBy(*keys, "q").agg(F.count_if(F.col(value) < F.col("q.said")).alias("below"), F.count_if(F.col(value) <= F.col("q.said")).alias("upto"))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("q.p") * F.col("q.n")))
+    off = F.greatest(F.col("below") + 1 - rank, rank - F.col("upto"), F.lit(0))
+    return counted.select(*keys, "q.p", "q.n", (F.col("q.max_rank_error") > 0).alias("collapsed"), (off <= F.col("q.max_rank_error")).alias("holds"))

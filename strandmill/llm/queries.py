@@ -65,7 +65,7 @@ def daily_sketches(spark: SparkSession, d: str) -> DataFrame:
     )
     calls = calls.withColumn("day", F.coalesce("day", F.lit("none")))
     parts = quantiles.sketch_groups(calls, ["chrom", "day"], ["coverage", "level"])
-    return quantiles.merged_in_tiers(parts, ["chrom", "day", "measure"], slices=16)
+    return quantiles.merged_in_tiers(parts, ["chrom", "day", "measure"], quantiles.slices_of(calls))
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -77,6 +77,17 @@ def p3_daily(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(daily_sketches(spark, d), ["chrom", "day", "measure"], [0.1, 0.5, 0.9])
 
 
+def p3_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Does each value's true rank lie within the stated error, with buffers so small that groups collapse?"""
+    k, fan_in = 64, 4
+    calls = read_table(spark, d, "calls").where("chrom is not null").select(F.lower(F.trim("chrom")).alias("chrom"), F.col("coverage").cast("double").alias("coverage"), "level")
+    parts = quantiles.sketch_groups(calls, ["chrom"], ["coverage", "level"], k, fan_in)
+    merged = quantiles.merged_in_tiers(parts, ["chrom", "measure"], quantiles.slices_of(calls), k, fan_in)
+    told = materialize(quantiles.percentiles(merged, ["chrom", "measure"], SHARES, k, fan_in), "percentiles")
+    every = calls.unpivot("chrom", ["coverage", "level"], "measure", "v").where("v is not null and not isnan(v)")
+    return quantiles.rank_check(told, every, ["chrom", "measure"], "v")
+
+
 # ---------------------------------------------------------------- problem 4
 def spoken_seq() -> F.Column:
     return F.when(F.trim("seq") != "", F.upper("seq"))
@@ -87,9 +98,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_top(spark: SparkSession, d: str) -> DataFrame:
-    """Items of 0.2 % and more: the sketch's upper bound beside the count."""
+    """Items of 0.2 % and more: the sketch's upper bound beside the count, and the chance to have missed such an item."""
     r = heavy_hitters.frequent_items(read_table(spark, d, "reads"), spoken_seq(), 0.002)
-    return r.select(F.col("item").alias("seq"), "exact_count", (F.col("approx_count") >= F.col("exact_count")).alias("bound_holds"))
+    return r.select(F.col("item").alias("seq"), "exact_count", (F.col("approx_count") >= F.col("exact_count")).alias("bound_holds"), F.bround("miss_chance", 12).alias("miss_chance"))
 
 
 # ---------------------------------------------------------------- problem 6
@@ -123,11 +134,17 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(mixing.draw(counts, rate), rate)
 
 
+def p7_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """Is each source capped, and has the draw the size that its rate asks for?"""
+    counts = mix_counts(spark, d)
+    rate = mixing.rates(counts, read_table(spark, d, "mix_targets"))
+    return mixing.on_target(mixing.draw(counts, rate), rate)
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     """The mix itself, one row a copy of a document."""
-    counts = mix_counts(spark, d)
-    drawn = mixing.draw(counts, mixing.rates(counts, read_table(spark, d, "mix_targets")))
-    return mixing.emit(read_table(spark, d, "documents").select("doc_id", "source", "text"), drawn)
+    docs = read_table(spark, d, "documents").select("doc_id", "source", "text")
+    return mixing.emit(docs, mixing.rates(mixing.token_counts(docs), read_table(spark, d, "mix_targets")))
 
 
 # ---------------------------------------------------------------- problem 8
@@ -151,7 +168,7 @@ def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_error, p3_percentiles, p3_daily, p4_found, p4_top, p6_found, p6_leaks, p7_found, p7_shares, p7_mix, p8_found, p8_documents, p8_stretches)
+    for f in (p1_found, p1_groups, p2_found, p2_error, p3_percentiles, p3_daily, p3_bounds, p4_found, p4_top, p6_found, p6_leaks, p7_found, p7_shares, p7_drawn, p7_mix, p8_found, p8_documents, p8_stretches)
 }
 
 # ------------------------------------------------------------- DuckDB twins
@@ -162,6 +179,12 @@ _CALLS = """v as (select lower(trim(chrom)) as chrom, coalesce(strftime(called_t
   w as (select chrom, day, x.m as measure, x.v as v from v where x.v is not null and not isnan(x.v))"""
 
 
+# sizes in characters in place of tokens: the same sources fall short by either
+_CAPPED = """with t as (select lower(trim(source)) as source, sum(target_share) as target_share, max(max_repeats) as max_repeats from mix_targets group by 1),
+      c as (select lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) as source, sum(length(text)) as chars from documents group by 1),
+      y as (select source, target_share, max_repeats, coalesce(chars, 0) as chars from t left join c using (source)), z as (select *, target_share * sum(chars) over () as wanted from y)"""
+
+
 def _percentiles(keys: str, shares: list[float]) -> str:
     """Value at rank max(1, ceil(p * n)); exact, as the sketches are for small groups."""
     return f"""with {_CALLS}, o as (select *, row_number() over (partition by {keys} order by v) as k, count(*) over (partition by {keys}) as n from w),
@@ -183,6 +206,9 @@ ORACLES: dict[str, str] = {
       select batch, keys, new_keys, filters_probed, 0 as wrong, 0 as missed, case when new_keys = 0 then 0 else filters_probed / 2.0::double ** 32 + sum(new_keys) over (order by batch) / 2.0::double ** 64 end as stated_rate, 0.0 as measured_rate from b""",
     "p3_percentiles": _percentiles("chrom, measure", SHARES),
     "p3_daily": _percentiles("chrom, day, measure", [0.1, 0.5, 0.9]),
+    "p3_bounds": f"with {_CALLS} select chrom, measure, unnest({SHARES}::double[]) as p, count(*) as n, count(*) >= 256 as collapsed, true as holds from w group by chrom, measure",
     "p4_found": "with r as (select upper(seq) as seq from reads where trim(seq) <> '') select seq from r group by seq having count(*) >= 0.005 * (select count(*) from r)",
-    "p4_top": "with r as (select upper(seq) as seq from reads where trim(seq) <> '') select seq, count(*) as exact_count, true as bound_holds from r group by seq having count(*) >= 0.002 * (select count(*) from r)",
+    "p7_found": _CAPPED + " select source from z where chars * max_repeats < wanted",
+    "p7_drawn": _CAPPED + " select source, chars > 0 and chars * max_repeats <= wanted as capped, true as holds from z",
+    "p4_top": "with r as (select upper(seq) as seq from reads where trim(seq) <> '') select seq, count(*) as exact_count, true as bound_holds, round_even(pow(least(((select count(*) from r) - count(*))::double / 4000 / count(*), 1.0), 5), 12) as miss_chance from r group by seq having count(*) >= 0.002 * (select count(*) from r)",
 }

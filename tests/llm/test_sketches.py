@@ -18,6 +18,15 @@ def test_frequent_items(spark):
     assert all(approx >= exact for exact, approx in got.values())
 
 
+def test_small_shares_in_wide_data(spark):
+    # thirty items of just the share among as many rows of others
+    values = [f"item{i}" for i in range(30) for _ in range(60)] + [f"cold{i}" for i in range(28_000)]
+    got = frequent(spark, values, 0.002)
+    assert set(got) == {f"item{i}" for i in range(30)}
+    with pytest.raises(ValueError, match="too small"):
+        frequent(spark, values, 0.002, width=1000)
+
+
 def test_frequent_edges(spark):
     assert frequent(spark, [], 0.1) == {}
     assert frequent(spark, [None, None], 0.1) == {}

@@ -172,7 +172,10 @@ def test_mix(spark):
     assert drawn.collect() == mixing.draw(counts.repartition(3), rate).orderBy("id").collect() or sorted(map(tuple, drawn.collect())) == sorted(map(tuple, mixing.draw(counts.repartition(3), rate).collect()))
     rep = {r.source: r for r in mixing.report(drawn, rate).collect()}
     assert rep["a"].share_reached == pytest.approx(0.5 / 0.9, abs=0.06) and rep["b"].most_copies <= 2
-    mix = mixing.emit(docs, drawn)
+    assert {(r.source, r.holds) for r in mixing.on_target(drawn, rate).collect()} == {(x, True) for x in "abc"}
+    mix = mixing.emit(docs, rate)
+    assert "BroadcastHashJoin" in mix._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.n) for r in mix.groupBy("doc_id").count().withColumnRenamed("count", "n").collect()} == {(r.id, r.copies) for r in drawn.where("copies > 0").collect()}
     assert mix.count() == sum(r.copies for r in drawn.collect()) and mix.columns == [*docs.columns, "copy_no"]
     assert mixing.report(mixing.draw(counts.limit(0), mixing.rates(counts.limit(0), targets)), mixing.rates(counts.limit(0), targets)).count() == 3
 
