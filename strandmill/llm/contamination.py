@@ -124,7 +124,11 @@ class Passages:
         of = np.repeat(np.arange(len(number)), count)
         spot = np.repeat(self.first[number] - np.cumsum(count) + count, count) + np.arange(len(of))
         item, n = self.item[spot], len(self.words)
-        key = (owner[of] * n + item) << 32 | (place[of] - self.at[spot] + (1 << 30))
+        pair = owner[of] * n + item
+        if len(pair) and pair[-1] < 1 << 24:  # most pairs have too few hits anywhere: they needn't be sorted
+            enough = np.bincount(pair)[pair] >= self.needed[item]
+            of, spot, pair = of[enough], spot[enough], pair[enough]
+        key = pair << 32 | (place[of] - self.at[spot] + (1 << 30))
         key.sort()
         item = (key >> 32) % n
         last = np.searchsorted(key, key + np.maximum(1, self.sizes[item] // 4), "right") - 1
@@ -239,16 +243,23 @@ def leaks_of_block(docs: DataFrame, block: Passages, least: float = 0.0) -> Data
             if not batch.num_rows:
                 continue
             items = batch.column(1).to_pylist()
-            own = [np.asarray(w.values, np.int32) for w in batch.column(2)]
-            order = np.argsort([len(w) for w in own], kind="stable")
+            # revisions of a page show the same words again: each stretch is aligned once
+            known: dict[tuple[int, bytes], int] = {}
+            own, which = [], np.empty(len(items), np.int64)
+            for k, (item, w) in enumerate(zip(items, batch.column(2))):
+                code = np.asarray(w.values, np.int32)
+                which[k] = known.setdefault((item, code.tobytes()), len(known))
+                if which[k] == len(own):
+                    own.append((item, code))
+            order = np.argsort([len(w) for _, w in own], kind="stable")
             score, longest = np.zeros(len(own)), np.zeros(len(own), np.int32)
             for a in range(0, len(order), 128):
                 at = order[a : a + 128]
-                s, r = align([own[i] for i in at], [block.words[items[i]] for i in at])
-                score[at] = s / (MATCH * block.sizes[[items[i] for i in at]])
+                s, r = align([own[i][1] for i in at], [block.words[own[i][0]] for i in at])
+                score[at] = s / (MATCH * block.sizes[[own[i][0] for i in at]])
                 longest[at] = r
             ids = pa.array([block.ids[i] for i in items], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(score), pa.array(longest)], names=["doc_id", "item_id", "score", "longest_run"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(score[which]), pa.array(longest[which])], names=["doc_id", "item_id", "score", "longest_run"])
 
     return windows(docs, block, least).mapInArrow(run, "doc_id long, item_id long, score double, longest_run int")
 
