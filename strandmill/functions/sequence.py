@@ -51,24 +51,40 @@ def cigar_ops(cigar: Column) -> Column:
     return F.zip_with(codes, lens, lambda op, n: F.struct(op.alias("op"), n.cast("int").alias("len")))
 
 
-def _upto(ops: Column, k: Column, kinds: str) -> Column:
-    """Summed length of the operations before the k-th that are of ``kinds``."""
-    return F.aggregate(F.slice(ops, F.lit(1), k), F.lit(0).cast("bigint"), lambda a, x: a + F.when(F.instr(F.lit(kinds), x["op"]) > 0, x["len"]).otherwise(0))
+def placed_ops(ops: Column, ref_ops: str = REF_OPS, read_ops: str = READ_OPS, emit: str = EMIT_OPS) -> Column:
+    """array<struct<op, len, ref, read, ordinal>>: operations with the bases of each kind before them, in one pass."""
+    zero = F.lit(0).cast("bigint")
+    kind = "array<struct<op:string,len:bigint,ref:bigint,read:bigint,ordinal:bigint>>"
+    start = F.struct(zero.alias("ref"), zero.alias("read"), zero.alias("ordinal"), F.array().cast(kind).alias("out"))
 
+    def add(a, o):
+        n = o["len"].cast("bigint")
+        on = lambda kinds: F.when(F.instr(F.lit(kinds), o["op"]) > 0, n).otherwise(zero)
+        one = F.struct(o["op"].alias("op"), n.alias("len"), a["ref"].alias("ref"), a["read"].alias("read"), a["ordinal"].alias("ordinal"))
+        return F.struct((a["ref"] + on(ref_ops)).alias("ref"), (a["read"] + on(read_ops)).alias("read"), (a["ordinal"] + on(emit)).alias("ordinal"), F.concat(a["out"], F.array(one)).alias("out"))
 
-def aligned_bases(sam: DataFrame, keep: list[str], emit: str = EMIT_OPS, ref_ops: str = REF_OPS, read_ops: str = READ_OPS) -> DataFrame:
-    """(keep..., aligned_idx, ref_pos, base): 0-based reference position of every emitted base.
+    return F.aggregate(ops, start, add, lambda a: a["out"])
+
+
+def aligned_bases(sam: DataFrame, keep: list[str], emit: str = EMIT_OPS, ref_ops: str = REF_OPS, read_ops: str = READ_OPS, qual: str | None = None) -> DataFrame:
+    """(keep..., aligned_idx, ref_pos, base[, q]): 0-based reference position of every emitted base.
 
     Truncated at the read's end; ``aligned_idx`` counts emitted bases of the
-    read from 0. Needs columns cigar, pos (1-based) and seq.
+    read from 0. Needs columns cigar, pos (1-based) and seq. ``qual`` adds the
+    quality letter (null past its end) at the base's "ordinal" or its "read" offset.
+
+    A row is cut into one piece an operation, and pieces into bases, so that no
+    base's row carries the read.
     """
-    ops = sam.withColumn("__ops", cigar_ops(F.col("cigar")))
-    placed = F.transform(
-        F.col("__ops"),
-        lambda o, k: F.struct(o["op"].alias("op"), o["len"].alias("len"), _upto(F.col("__ops"), k, ref_ops).alias("ref"), _upto(F.col("__ops"), k, read_ops).alias("read"), _upto(F.col("__ops"), k, emit).alias("ordinal")),
-    )
-    shown = F.filter(placed, lambda o: (F.instr(F.lit(emit), o["op"]) > 0) & (F.least(o["len"], F.length("seq") - o["read"]) > 0))
-    one = ops.select(*keep, "pos", "seq", F.explode(shown).alias("o"))
-    each = one.select(*keep, "pos", "seq", "o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("o.len"), F.length("seq") - F.col("o.read")) - 1)).alias("j"))
-    at = F.col("o.read") + F.col("j")
-    return each.select(*keep, (F.col("o.ordinal") + F.col("j")).alias("aligned_idx"), (F.col("pos") - 1 + F.col("o.ref") + F.col("j")).alias("ref_pos"), F.substring("seq", (at + 1).cast("int"), F.lit(1)).alias("base"))
+    shown = F.filter(placed_ops(cigar_ops(F.col("cigar")), ref_ops, read_ops, emit), lambda o: (F.instr(F.lit(emit), o["op"]) > 0) & (F.least(o["len"], F.length("seq") - o["read"]) > 0))
+    each = sam.select(*keep, (F.col("pos") - 1).alias("__pos"), F.col("seq").alias("__seq"), *([F.col("qual").alias("__qual")] if qual else []), F.explode(shown).alias("__o"))
+    part = lambda c, at: F.split(F.substring(c, (F.col(f"__o.{at}") + 1).cast("int"), F.col("__o.len").cast("int")), "")
+    letters = part("__seq", "read")
+    if qual:
+        letters = F.arrays_zip(letters.alias("base"), F.when(F.length("__qual") > F.col(f"__o.{qual}"), part("__qual", qual)).otherwise(F.array().cast("array<string>")).alias("q"))
+    piece = each.select(*keep, F.col("__o.ordinal").alias("__ordinal"), (F.col("__pos") + F.col("__o.ref")).alias("__ref"), letters.alias("__letters"))
+    rows = piece.select(*keep, "__ordinal", "__ref", F.posexplode("__letters").alias("__j", "__b"))
+    names = ["__b.base", "__b.q"] if qual else [F.col("__b").alias("base")]
+    rows = rows.select(*keep, (F.col("__ordinal") + F.col("__j")).alias("aligned_idx"), (F.col("__ref") + F.col("__j")).alias("ref_pos"), *names)
+    # a piece of quality may be longer than the rest of the read
+    return rows.where("base is not null") if qual else rows

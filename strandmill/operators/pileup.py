@@ -29,30 +29,50 @@ def call_ref_anchored(sam: DataFrame, genome: DataFrame, conversion: str = "ct")
 
 
 def _stranded(sam: DataFrame, conversion: str, min_qual: int, keep: list[str], by_read_offset: bool = False) -> DataFrame:
-    """Bases with strand, class (kept or converted) and the quality at their ordinal."""
+    """Bases with strand, class (kept or converted) and quality.
+
+    The quality is looked up at the aligned ordinal, which is shifted behind clips
+    and insertions, or at the base's own offset in the read.
+    """
     c = parse_conversion(conversion)
     strand = F.when(flag_set(F.col("flag"), 16), "-").otherwise("+")
     rows = mapped(sam).withColumn("strand", strand)
-    bases = aligned_bases(rows, ["line_no", "rname", "strand", "qual", *keep])
-    # the quality is looked up at the aligned ordinal, which is shifted behind clips and insertions
-    q = F.substring("qual", (F.col("aligned_idx") + 1).cast("int"), F.lit(1))
-    bases = bases.where((F.col("aligned_idx") < F.length("qual")) & (F.col("ref_pos") >= 0)).withColumn("q", q).where(F.ascii("q") - 33 >= min_qual)
+    bases = aligned_bases(rows, [*keep, "rname", "strand"], qual="read" if by_read_offset else "ordinal")
+    bases = bases.where((F.col("ref_pos") >= 0) & F.col("q").isNotNull() & (F.ascii("q") - 33 >= min_qual))
     plus = F.col("strand") == "+"
     kept = F.col("base") == F.when(plus, c.target).otherwise(c.complement_target)
     converted = F.col("base") == F.when(plus, c.converted).otherwise(c.complement_converted)
     return bases.withColumn("kept", kept).withColumn("converted", converted).where(kept | converted)
 
 
-def call_universal(sam: DataFrame, conversion: str = "ct", min_qual: int = 20, min_cov: int = 5) -> DataFrame:
+def call_universal(sam: DataFrame, conversion: str = "ct", min_qual: int = 20, min_cov: int = 5, by_read_offset: bool = False) -> DataFrame:
     """No reference; strand by flag 16; converted = methylated."""
-    sites = _stranded(sam, conversion, min_qual, []).groupBy(F.col("rname").alias("chrom"), F.col("ref_pos").alias("pos")).agg(F.count_if("converted").alias("meth_count"), F.count_if("kept").alias("unmeth_count"))
+    sites = _stranded(sam, conversion, min_qual, [], by_read_offset).groupBy(F.col("rname").alias("chrom"), F.col("ref_pos").alias("pos")).agg(F.count_if("converted").alias("meth_count"), F.count_if("kept").alias("unmeth_count"))
     total = F.col("meth_count") + F.col("unmeth_count")
     return sites.where(total >= min_cov).select("chrom", "pos", F.bround(F.col("meth_count") / total, 4).alias("level"), "meth_count", "unmeth_count", total.alias("coverage"))
 
 
-def per_base(sam: DataFrame, conversion: str = "ct", min_qual: int = 0) -> DataFrame:
-    """By (chrom, 1-based pos, strand): ordered quality strings and counts of both classes."""
-    b = _stranded(sam, conversion, min_qual, [])
-    held = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(kind), F.struct("line_no", "aligned_idx", "q")))), lambda x: x["q"]), "")
-    sites = b.groupBy(F.col("rname").alias("chrom"), (F.col("ref_pos") + 1).alias("pos"), "strand").agg(held("converted").alias("converted_quals"), F.count_if("converted").alias("converted_count"), held("kept").alias("unconverted_quals"), F.count_if("kept").alias("unconverted_count"))
-    return sites.withColumn("unconverted_rate", F.bround(F.col("unconverted_count") / (F.col("unconverted_count") + F.col("converted_count")), 6))
+#: lines whose qualities at a site are put together by one task
+LINES = 1 << 16
+
+
+def per_base(sam: DataFrame, conversion: str = "ct", min_qual: int = 0, by_read_offset: bool = False) -> DataFrame:
+    """By (chrom, 1-based pos, strand): ordered quality strings and counts of both classes.
+
+    Strings are first made for ranges of ``LINES`` lines, then joined, so a deep site
+    is worked on by many tasks; only its final strings meet in one row.
+    """
+    b = _stranded(sam, conversion, min_qual, ["line_no"], by_read_offset)
+    site = [F.col("rname").alias("chrom"), (F.col("ref_pos") + 1).alias("pos"), "strand"]
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "aligned_idx", "q", "converted")))
+    parts = b.groupBy(*site, F.floor(F.col("line_no") / LINES).alias("part")).agg(ordered.alias("x"))
+    told = lambda keep: F.array_join(F.transform(F.filter("x", keep), lambda x: x["q"]), "")
+    parts = parts.select("chrom", "pos", "strand", F.struct("part", told(lambda x: x["converted"]).alias("yes"), told(lambda x: ~x["converted"]).alias("no")).alias("s"))
+    sites = parts.groupBy("chrom", "pos", "strand").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    text = lambda c: F.array_join(F.transform("s", lambda x: x[c]), "")
+    sites = sites.select("chrom", "pos", "strand", text("yes").alias("converted_quals"), text("no").alias("unconverted_quals"))
+    n = lambda c: F.length(c).cast("bigint")
+    return sites.select(
+        "chrom", "pos", "strand", "converted_quals", n("converted_quals").alias("converted_count"), "unconverted_quals", n("unconverted_quals").alias("unconverted_count"),
+        F.bround(n("unconverted_quals") / (n("unconverted_quals") + n("converted_quals")), 6).alias("unconverted_rate"),
+    )

@@ -240,17 +240,18 @@ def read_seeds(spark, d):
     return seeds_of(spark, d)
 
 
-def hits_of(spark, d) -> DataFrame:
-    return align.seed_hits(seeds_of(spark, d), align.ref_seed_index(views.blocks(spark, d), K))
+def lists_of(spark, d) -> DataFrame:
+    return align.seed_lists(seeds_of(spark, d), align.ref_seed_index(views.blocks(spark, d), K))
 
 
 @query
 def seed_hits(spark, d):
-    return hits_of(spark, d).groupBy("read_idx").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("offset").alias("offsets"))
+    hits = align.seed_hits(lists_of(spark, d).repartition("read_idx"))
+    return hits.groupBy("read_idx").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("offset").alias("offsets"))
 
 
 def candidates_of(spark, d) -> DataFrame:
-    return align.candidates_topk(hits_of(spark, d), views.genome_length(spark, d), READ, align.max_candidates(READ))
+    return align.candidates_topk(lists_of(spark, d), views.genome_length(spark, d), READ, align.max_candidates(READ))
 
 
 @query
