@@ -30,6 +30,12 @@ def words_2bit(seq: Column) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), word)).otherwise(F.array().cast("array<decimal(20,0)>"))
 
 
+def bases_2bit(words: Column, length: Column) -> Column:
+    """The first ``length`` bases of words of two bits a base."""
+    text = F.array_join(F.transform(words, lambda w: F.reverse(F.lpad(F.conv(w.cast("string"), 10, 4), 32, "0"))), "")
+    return F.translate(F.substring(text, F.lit(1), length), "0123", "ACGT")
+
+
 def phred(symbol: Column) -> Column:
     return F.ascii(symbol) - 33
 

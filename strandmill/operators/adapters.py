@@ -92,5 +92,12 @@ def trim(reads: DataFrame, adapter: str, conversion: str = "ct", min_overlap: in
     return out
 
 
+def trim_mates(reads: DataFrame, first: str, second: str | None = None, conversion: str = "ct", **params) -> DataFrame:
+    """Both mates, each by its adapter (the second's is the first's where none is given), apart from each other."""
+    rest = F.coalesce(F.col("mate"), F.lit(1)) != 2
+    one = trim(reads.where(rest), first, conversion, **params)
+    return one.unionByName(trim(reads.where(~rest), second or first, conversion, **params))
+
+
 def trim_stats(trimmed: DataFrame) -> DataFrame:
     return trimmed.agg(F.count(F.lit(1)).alias("total_reads"), F.count("cut_at").alias("trimmed_reads"), F.count_if(F.col("seq") == "").alias("empty_reads"), F.sum(F.length("seq")).alias("bases_left"))

@@ -244,13 +244,13 @@ def align(reads: DataFrame, blocks: DataFrame, genome_length: int, read_length:
     return best_hit(score_candidates(with_region(found, reads, blocks, read_length + band), conversion))
 
 
-def to_sam(reads: DataFrame, hits: DataFrame) -> DataFrame:
-    """Alignment rows, unmapped reads with flag 4."""
+def to_sam(reads: DataFrame, hits: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Alignment rows, unmapped reads with flag 4; ``keep`` names further columns of the reads."""
     both = reads.join(hits.select("read_idx", "chrom", "start", "score"), "read_idx", "left")
     ok = F.col("start").isNotNull()
     return both.select(
         F.col("read_idx").alias("line_no"), F.ltrim(F.col("name"), F.lit("@")).alias("qname"), F.when(ok, 0).otherwise(4).alias("flag"), F.coalesce("chrom", F.lit("*")).alias("rname"), F.coalesce(F.col("start") + 1, F.lit(0)).alias("pos"),
-        F.when(ok, 60).otherwise(0).alias("mapq"), F.when(ok, F.concat(F.length("seq"), F.lit("M"))).otherwise("*").alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), "seq", "qual", F.col("score").alias("AS"),
+        F.when(ok, 60).otherwise(0).alias("mapq"), F.when(ok, F.concat(F.length("seq"), F.lit("M"))).otherwise("*").alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), "seq", "qual", F.col("score").alias("AS"), *keep,
     )
 
 

@@ -18,14 +18,14 @@ def mapped(sam: DataFrame) -> DataFrame:
     return sam.where(~flag_set(F.col("flag"), 4))
 
 
-def call_ref_anchored(sam: DataFrame, genome: DataFrame, conversion: str = "ct") -> DataFrame:
-    """Sites whose reference is the target: kept = methylated, depth of any base."""
+def call_ref_anchored(sam: DataFrame, genome: DataFrame, conversion: str = "ct", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sites whose reference is the target: kept = methylated, depth of any base; apart for each of ``keys``."""
     c = parse_conversion(conversion)
     # only M emits; = X P neither emit nor advance here
-    bases = aligned_bases(mapped(sam), ["rname"], emit="M", ref_ops="MDN", read_ops="MIS")
-    sites = bases.groupBy(F.col("rname").alias("chrom"), F.col("ref_pos").alias("pos")).agg(F.count_if(F.col("base") == c.target).alias("meth_count"), F.count_if(F.col("base") == c.converted).alias("unmeth_count"), F.count(F.lit(1)).alias("coverage"))
+    bases = aligned_bases(mapped(sam), [*keys, "rname"], emit="M", ref_ops="MDN", read_ops="MIS")
+    sites = bases.groupBy(*keys, F.col("rname").alias("chrom"), F.col("ref_pos").alias("pos")).agg(F.count_if(F.col("base") == c.target).alias("meth_count"), F.count_if(F.col("base") == c.converted).alias("unmeth_count"), F.count(F.lit(1)).alias("coverage"))
     target = genome.where(F.col("base") == c.target).select("chrom", "pos")
-    return sites.join(target, ["chrom", "pos"], "left_semi").select("chrom", "pos", F.bround(F.col("meth_count") / F.col("coverage"), 4).alias("level"), "meth_count", "unmeth_count", "coverage")
+    return sites.join(target, ["chrom", "pos"], "left_semi").select(*keys, "chrom", "pos", F.bround(F.col("meth_count") / F.col("coverage"), 4).alias("level"), "meth_count", "unmeth_count", "coverage")
 
 
 def _stranded(sam: DataFrame, conversion: str, min_qual: int, keep: list[str], by_read_offset: bool = False) -> DataFrame:

@@ -13,13 +13,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import qualities
-from .adapters import adapter_table
+from .adapters import ADAPTERS
 
 BASES = "ACGTN"
 
 
 def totals(reads: DataFrame) -> DataFrame:
-    return reads.agg(F.count(F.lit(1)).alias("total_reads"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("total_bases"))
+    """All rows count as reads; those without a sequence, or with a quality of another length, are told apart."""
+    usable = F.coalesce(F.trim("seq") != "", F.lit(False))
+    return reads.agg(
+        F.count(F.lit(1)).alias("total_reads"), F.coalesce(F.sum(F.when(usable, F.length(F.trim("seq")))), F.lit(0)).alias("total_bases"),
+        F.count_if(~usable).alias("without_seq"), F.count_if(usable & ~F.coalesce(F.length(F.trim("seq")) == F.length("qual"), F.lit(False))).alias("without_qual"),
+    )
 
 
 def base_percent(reads: DataFrame) -> DataFrame:
@@ -84,14 +89,15 @@ def overrepresented(reads: DataFrame, share: float = 0.001, top: int = 20) -> Da
 
 def adapter_content(reads: DataFrame) -> DataFrame:
     """Share of reads that hold the first 12 letters of each adapter: one pass, nine counters."""
-    names = {r["adapter"]: r["sequence"][:12] for r in adapter_table(reads.sparkSession).collect()}
+    names = {a: s[:12] for a, s in ADAPTERS.items()}
     one = reads.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.contains("seq", F.lit(s))).alias(a) for a, s in names.items()])
     long = one.unpivot("n", list(names), "adapter", "reads")
     return long.select("adapter", "reads", F.bround(100.0 * F.try_divide("reads", "n"), 4).alias("pct"))
 
 
-def grade(reads: DataFrame) -> DataFrame:
-    q = read_quality(reads).agg((F.sum(F.col("mean_quality") * F.col("reads")) / F.sum("reads")).alias("quality"))
-    a = adapter_content(reads).agg(F.max("pct").alias("adapter_pct"))
+def grade(quals: DataFrame, seqs: DataFrame) -> DataFrame:
+    """One row from the reads that have a quality and those that have a sequence."""
+    q = read_quality(quals).agg((F.sum(F.col("mean_quality") * F.col("reads")) / F.sum("reads")).alias("quality"))
+    a = adapter_content(seqs).agg(F.max("pct").alias("adapter_pct"))
     g = F.when((F.col("quality") >= 28) & (F.col("adapter_pct") <= 5), "PASS").when(F.col("quality") >= 20, "WARNING").otherwise("FAIL")
     return q.join(F.broadcast(a)).select(F.bround("quality", 4).alias("quality"), "adapter_pct", g.alias("grade"))

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import first_per
-
 # fixed values: header patterns in the order in which they are tried, with the group that holds the UMI
 PATTERNS = {
     "standard": (r"^@([^\s]+)\s+.*?(UMI|umi|BX:Z:)([ATCGNatcgn]+)", 3),
@@ -19,22 +17,38 @@ PATTERNS = {
 }
 
 
-def detect(reads: DataFrame, headers: int = 500, seqs: int = 200) -> DataFrame:
-    """(library, location, pattern): how each library carries its UMI.
+#: reads in which ends should differ, and their length
+DRAWN, END = 200, 8
+
+
+def detect(reads: DataFrame) -> DataFrame:
+    """(library, location, pattern, length): how each library carries its UMI, from all its reads.
 
-    The first header pattern that over half of the first ``headers`` reads match;
-    else inline where over half of the first ``seqs`` reads' 8 letters at that end
-    differ; else none.
+    The first header pattern that over half of a library's reads match, with the
+    most frequent length of its UMIs (the longer one of a tie); else inline where of
+    ``DRAWN`` reads drawn at random over half would differ in the ``END`` letters at
+    that end, as the counts of all ends tell; else none. Null names match nothing.
     """
-    first = first_per(reads.select("library", "read_idx", "name", "seq"), "library", headers)
-    shares = [F.avg(F.col("name").rlike(p).cast("int")).alias(n) for n, (p, _) in PATTERNS.items()]
-    by_header = first.groupBy("library").agg(*shares)
-    ends = first_per(first.where("length(seq) >= 8"), "library", seqs).groupBy("library").agg(
-        (F.count_distinct(F.substring("seq", 1, 8)) / F.count(F.lit(1))).alias("front"), (F.count_distinct(F.expr("right(seq, 8)")) / F.count(F.lit(1))).alias("back")
-    )
+    headers = [F.regexp_extract("name", p, g) for p, g in PATTERNS.values()]
+    matched = [F.coalesce(F.col("name").rlike(p), F.lit(False)) for p, _ in PATTERNS.values()]
+    lengths = reads.select("library", *[F.when(m, F.length(h)).alias(n) for n, m, h in zip(PATTERNS, matched, headers)])
+    # one row a library and combination of lengths, so that modes are taken from counts
+    counted = lengths.groupBy("library", *PATTERNS).agg(F.count(F.lit(1)).alias("n"))
+    shares = [(F.sum(F.when(F.col(n).isNotNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias(n) for n in PATTERNS]
+    by_header = counted.groupBy("library").agg(*shares)
+    unfolded = counted.unpivot(["library", "n"], list(PATTERNS), "pattern", "length").where("length is not null").groupBy("library", "pattern", "length").agg(F.sum("n").alias("n"))
+    modes = unfolded.groupBy("library", "pattern").agg(F.max_by("length", F.struct("n", "length")).alias("length"))
+    ends = reads.where(F.length("seq") >= END).select("library", F.explode(F.array(F.struct(F.lit("front").alias("side"), F.substring("seq", 1, END).alias("end")), F.struct(F.lit("back").alias("side"), F.expr(f"right(seq, {END})").alias("end")))).alias("e"))
+    each = ends.groupBy("library", "e").agg(F.count(F.lit(1)).alias("n"))
+    total = each.groupBy("library", "e.side").agg(F.sum("n").alias("all"))
+    share = F.col("n") / F.col("all")
+    differ = F.sum(1 - F.pow(1 - share, F.least(F.col("all"), F.lit(DRAWN)))) / F.least(F.first("all"), F.lit(DRAWN))
+    drawn = each.select("library", "e.side", "n").join(total, ["library", "side"]).groupBy("library", "side").agg(differ.alias("differ"))
+    sides = drawn.groupBy("library").agg(*[F.max(F.when(F.col("side") == x, F.col("differ"))).alias(x) for x in ("front", "back")])
     pattern = F.coalesce(*[F.when(F.col(n) > 0.5, n) for n in PATTERNS])
     location = F.when(pattern.isNotNull(), "header").when(F.col("front") > 0.5, "inline_5prime").when(F.col("back") > 0.5, "inline_3prime").otherwise("none")
-    return by_header.join(ends, "library", "left").select("library", location.alias("location"), pattern.alias("pattern"))
+    told = by_header.join(sides, "library", "left").select("library", location.alias("location"), pattern.alias("pattern"))
+    return told.join(modes, ["library", "pattern"], "left").select("library", "location", "pattern", "length")
 
 
 def standard(umi: Column) -> Column:
@@ -72,3 +86,7 @@ def stats(reads: DataFrame, umi: str = "umi") -> DataFrame:
     )
     rate = F.coalesce(1 - F.try_divide(F.col("unique_umis").cast("double"), F.col("reads_with_umi").cast("double")), F.lit(0.0))
     return s.withColumn("reads_after_dedup", F.col("unique_umis")).withColumn("duplication_rate", F.bround(rate, 4))
+
+
+#: consensus of duplicates: as in the original, the first read stands for its group
+consensus = dedup

@@ -16,9 +16,9 @@ G = "(select 32 * count(*) from part)"
 BLOCKS = f"blocks as (select p_partkey as block_id, translate(md5('g:' || p_partkey), '{HEX}', '{NT}') as seq from part)"
 GENOME = BLOCKS + ", genome as (select 'chr_sim' as chrom, block_id * 32 + i as pos, substr(seq, i::int + 1, 1) as base from (select block_id, seq, unnest(range(32)) as i from blocks))"
 TRUTH = GENOME + ", truth as (select chrom, pos, case when substr(md5('m:' || pos), 1, 2) < 'b3' then 1 else 0 end as methylated from genome where base = 'C')"
-READS = "r as (select read_idx, library, mate, name, upper(trim(seq)) as seq, qual from reads where trim(seq) <> '' and length(trim(seq)) = length(qual))"
+READS = "r as (select read_idx, library, mate, name, upper(trim(seq)) as seq, qual from reads where trim(seq) <> '')"
 SAM = (
-    READS
+    READS[:-1] + " and length(trim(seq)) = length(qual))"
     + f""", sam as (select read_idx as line_no, split_part(ltrim(name, '@'), ' ', 1) as qname,
   case read_idx % 20 when 0 then 4 when 1 then 16 when 2 then 163 when 3 then 83 else 0 end as flag, 'chr_sim' as rname,
   (read_idx * 7919) % ({G} - 200) + 1 as pos, (read_idx * 37) % 61 as mapq,
@@ -74,7 +74,7 @@ METRICS = metric_cte("aligner")
 RESULTS = metric_cte("sample, aligner") + """, res as (select sample, substr(sample, 5, 3) as grp, case when coalesce(try_cast(nullif(regexp_extract(sample, '([0-9]+)$', 1), '') as int), 0) % 2 = 0 then 'ct' else 'ag' end as conversion, aligner, f1_score, precision, recall, accuracy, sites_overlap from m)"""
 KEYED = "kr as (select read_idx, case when length(u) >= 4 then u end as umi from (select read_idx, regexp_replace(upper(trim(umi)), '[^ATCG]', 'N', 'g') as u from reads))"
 LAYOUT = "lay as (select library, max(location) as location, coalesce(max(umi_length), 0) as umi_length from umi_stats group by library)"
-QUALS = READS + ", q as (select read_idx, i - 1 as position, ascii(substr(qual, i::int, 1)) - 33 as v from (select read_idx, qual, unnest(range(1, length(qual) + 1)) as i from r))"
+QUALS = "r as (select read_idx, qual from reads where length(qual) > 0), q as (select read_idx, i - 1 as position, ascii(substr(qual, i::int, 1)) - 33 as v from (select read_idx, qual, unnest(range(1, length(qual) + 1)) as i from r))"
 
 
 def cut_sql(seq: str, adapter: str) -> str:
@@ -85,9 +85,9 @@ def cut_sql(seq: str, adapter: str) -> str:
     return f"list_min(list_filter(range(0, length({seq}) - 5), lambda i: {same} >= 6 and 1 - {same}::double / {o} <= 0.1::double))"
 
 
-def trimmed(adapter: str, where: str = "true") -> str:
-    cuts = {adapter, adapter.replace("C", "T")}
-    return READS + f", t as (select read_idx, seq, least({', '.join(cut_sql('seq', x) for x in sorted(cuts))}, 1000000000) as c from r where {where}), tr as (select read_idx, case when c < 1000000000 then substr(seq, 1, c::int) else seq end as seq, case when c < 1000000000 then c end as cut_at from t)"
+def trimmed(first: str, second: str) -> str:
+    cuts = lambda adapter: f"least({', '.join(cut_sql('seq', x) for x in sorted({adapter, adapter.replace('C', 'T')}))}, 1000000000)"
+    return READS + f", t as (select read_idx, seq, case when mate = 2 then {cuts(second)} else {cuts(first)} end as c from r), tr as (select read_idx, case when c < 1000000000 then substr(seq, 1, c::int) else seq end as seq, case when c < 1000000000 then c end as cut_at from t)"
 
 
 def count_base(b: str) -> str:
@@ -123,24 +123,26 @@ ORACLES: dict[str, str] = {
     "count_reads": "select library, count(*) as reads from reads group by library",
     "sam_mapped": f"with {SAM} select line_no, qname, flag, pos, cigar from sam where flag & 4 = 0",
     "sample_reads": f"with {READS} select read_idx, seq from r order by md5(read_idx || ':42'), read_idx limit 1000",
-    "sample_pairs": f"with {READS} select read_idx, seq as seq1, reverse(translate(seq, 'ACGT', 'TGCA')) as seq2 from r where read_idx % 10 <> 0 order by md5(read_idx || ':42'), read_idx limit 500",
+    "sample_pairs": f"with {READS} select read_idx, seq as seq1, reverse(translate(seq, 'ACGT', 'TGCA')) as seq2 from r order by md5(read_idx || ':42'), read_idx limit 500",
     "sample_pct": f"with {READS}, o as (select read_idx, library, row_number() over (order by md5(read_idx || ':42'), read_idx) as n, count(*) over () as total from r) select read_idx, library from o where n <= greatest(1, total * 5 // 100)",
     "truth_sites": f"with {TRUTH} select * from truth",
     "convert_bases": f"with {GENOME}, u as (select pos, base, base = 'C' and substr(md5('m:' || pos), 1, 2) < 'b3' as meth, {hex4("'c:' || pos")} / 65536.0::double as u from genome) select pos, base, case when base in ('C', 'G') and ((not meth and u < 0.99) or (meth and u >= 0.99)) then translate(base, 'CG', 'TA') else base end as converted from u",
     "revcomp": f"with {READS} select read_idx, reverse(translate(seq, 'ACGT', 'TGCA')) as rc from r",
     "adapter_detect": f"with {READS}, t as (select right(seq, 12) as tail, count(*) as reads from r where length(seq) >= 10 group by 1), n as (select sum(reads) as n from t), top as (select * from t order by reads desc, tail limit 20) select * from (select tail, reads, case {named} end as adapter from top, n where reads >= n * 0.001) where adapter is not null",
-    "adapter_trim": f"with {trimmed(ADAPTERS['illumina_universal'], 'mate = 1')} select read_idx, seq, cut_at from tr",
-    "trim_stats": f"with {trimmed(ADAPTERS['nextera'])} select count(*) as total_reads, count(cut_at) as trimmed_reads, count(*) filter (seq = '') as empty_reads, sum(length(seq)) as bases_left from tr",
-    "umi_detect": f"""with {READS}, f as (select * from r qualify row_number() over (partition by library order by read_idx) <= 500),
-      h as (select library, {", ".join(f"avg(regexp_matches(name, '{p}')::int) as {n}" for n, (p, _) in PATTERNS.items())} from f group by library),
-      e as (select library, count(distinct left(seq, 8)) / count(*) as front, count(distinct right(seq, 8)) / count(*) as back from (select * from f where length(seq) >= 8 qualify row_number() over (partition by library order by read_idx) <= 200) group by library),
-      p as (select h.library, front, back, case when standard > 0.5 then 'standard' when illumina_v3 > 0.5 then 'illumina_v3' when simple > 0.5 then 'simple' end as pattern from h left join e using (library))
-      select library, case when pattern is not null then 'header' when front > 0.5 then 'inline_5prime' when back > 0.5 then 'inline_3prime' else 'none' end as location, pattern from p""",
+    "adapter_trim": f"with {trimmed(ADAPTERS['illumina_universal'], ADAPTERS['illumina_small_rna'])} select read_idx, seq, cut_at from tr",
+    "trim_stats": f"with {trimmed(ADAPTERS['nextera'], ADAPTERS['nextera'])} select count(*) as total_reads, count(cut_at) as trimmed_reads, count(*) filter (seq = '') as empty_reads, sum(length(seq)) as bases_left from tr",
+    "umi_detect": f"""with {READS}, h as (select library, {", ".join(f"avg(coalesce(regexp_matches(name, '{p}'), false)::int) as {n}" for n, (p, _) in PATTERNS.items())} from r group by library),
+      l as (select library, pattern, max_by(length, (n, length)) as length from (select library, pattern, length, count(*) as n from ({" union all ".join(f"select library, '{n}' as pattern, length(regexp_extract(name, '{p}', {g}))::int as length from r where regexp_matches(name, '{p}')" for n, (p, g) in PATTERNS.items())}) group by all) group by library, pattern),
+      e as (select library, side, count(*) as n from (select library, 'front' as side, left(seq, 8) as e from r where length(seq) >= 8 union all select library, 'back', right(seq, 8) from r where length(seq) >= 8) group by library, side, e),
+      d as (select library, side, sum(1 - (1 - n / t) ** least(t, 200)) / least(any_value(t), 200) as differ from (select *, sum(n) over (partition by library, side)::double as t from e) group by library, side),
+      p as (select h.library, (select differ from d where d.library = h.library and side = 'front') as front, (select differ from d where d.library = h.library and side = 'back') as back,
+        case when standard > 0.5 then 'standard' when illumina_v3 > 0.5 then 'illumina_v3' when simple > 0.5 then 'simple' end as pattern from h)
+      select library, case when pattern is not null then 'header' when front > 0.5 then 'inline_5prime' when back > 0.5 then 'inline_3prime' else 'none' end as location, pattern, length from p left join l using (library, pattern)""",
     "umi_extract": f"""with {READS}, {LAYOUT}, e as (select read_idx, case when location = 'header' then (case {first_match} end) when location = 'inline_5prime' and umi_length > 0 then left(seq, umi_length::int) when location = 'inline_3prime' and umi_length > 0 then right(seq, umi_length::int) end as u from r join lay using (library))
       select read_idx, case when length(trim(u)) >= 4 then regexp_replace(upper(trim(u)), '[^ATCG]', 'N', 'g') end as umi_found from e""",
     "umi_dedup": f"with {KEYED} select read_idx, umi from (select *, min(read_idx) over (partition by umi) as first from kr where umi is not null) where read_idx = first",
     "umi_stats": f"with {KEYED}, c as (select umi, count(*) as n from kr where umi is not null group by umi) select sum(n) as reads_with_umi, count(*) as unique_umis, count(*) filter (n > 1) as duplicate_groups, count(*) filter (n = 1) as singleton_groups, count(*) as reads_after_dedup, round_even(1 - count(*)::double / sum(n)::double, 4) as duplication_rate from c",
-    "qc_totals": f"with {READS} select count(*) as total_reads, sum(length(seq)) as total_bases from r",
+    "qc_totals": "with u as (select trim(seq) as s, qual, coalesce(trim(seq) <> '', false) as ok from reads) select count(*) as total_reads, coalesce(sum(length(s)) filter (ok), 0) as total_bases, count(*) filter (not ok) as without_seq, count(*) filter (ok and coalesce(length(s) <> length(qual), true)) as without_qual from u",
     "qc_base_pct": f"with {READS} select {', '.join(f'round_even(100.0::double * {count_base(b)} / sum(length(seq)), 4) as pct_{b.lower()}' for b in 'ACGTN')} from r",
     "qc_length_n50": f"with {READS}, o as (select length(seq) as l, sum(length(seq)) over (order by length(seq) desc) as upto, sum(length(seq)) over () as total from r) select round_even(avg(l), 4) as mean_length, min(l) as min_length, max(l) as max_length, max(l) filter (upto * 2 >= total) as n50 from o",
     "qc_gc_hist": f"with {READS} select (100 * (length(seq) - length(translate(seq, 'GC', ''))) // length(seq))::int as gc, count(*) as reads from r group by 1",
@@ -151,10 +153,11 @@ ORACLES: dict[str, str] = {
     "qc_length_hist": f"with {READS} select length(seq) as length, count(*) as reads from r group by 1",
     "qc_overrepresented": f'with {READS}, c as (select seq, count(*) as n from r group by 1) select seq as sequence, n as "count", round_even(100.0::double * n / (select count(*) from r), 4) as pct from c where n >= (select count(*) from r) * 0.001 order by n desc, seq limit 20',
     "qc_adapters": f"with {READS} " + " union all ".join(f"select '{n}' as adapter, count(*) filter (contains(seq, '{s[:12]}')) as reads, round_even(100.0::double * count(*) filter (contains(seq, '{s[:12]}')) / count(*), 4) as pct from r" for n, s in ADAPTERS.items()),
-    "qc_grade": f"with {QUALS}, mq as (select floor(sum(v)::double / count(*)) as m from q group by read_idx), x as (select avg(m) as quality from mq), a as (select greatest({', '.join(f'round_even(100.0::double * count(*) filter (contains(seq, {chr(39)}{s[:12]}{chr(39)})) / count(*), 4)' for s in ADAPTERS.values())}) as adapter_pct from r) select round_even(quality, 4) as quality, adapter_pct, case when quality >= 28 and adapter_pct <= 5 then 'PASS' when quality >= 20 then 'WARNING' else 'FAIL' end as grade from x, a",
+    "qc_grade": f"with {QUALS}, mq as (select floor(sum(v)::double / count(*)) as m from q group by read_idx), x as (select avg(m) as quality from mq), {READS.replace('r as', 'sr as')}, a as (select greatest({', '.join(f'round_even(100.0::double * count(*) filter (contains(seq, {chr(39)}{s[:12]}{chr(39)})) / count(*), 4)' for s in ADAPTERS.values())}) as adapter_pct from sr) select round_even(quality, 4) as quality, adapter_pct, case when quality >= 28 and adapter_pct <= 5 then 'PASS' when quality >= 20 then 'WARNING' else 'FAIL' end as grade from x, a",
     "conversion_types": f"with {READS}, c(tag, key, from_base, to_base, comp_from, comp_to) as (values {registry}), n as ({' union all '.join(f'''select '{b}' as from_base, {count_base(b)} as bases from r''' for b in 'ACGT')}) select * from c join n using (from_base)",
     "encode_3base": f"with {READS} select read_idx, {', '.join(f'{THREE.format(chr(115) + chr(101) + chr(113), REGISTRY[t].three_letter)} as {t}' for t in ('ct', 'ag', 'ac', 'gt', 'at', 'cg'))} from r",
-    "kmer_code": f"with {READS} select read_idx, {code('x', 16)} as code from (select read_idx, substr({THREE.format('seq', '0121')}, 1, 16) as x from r where length(seq) >= 16)",
+    "kmer_code": f"with {READS} select read_idx, s::int as seed_start, {code('x', 16)} as code from (select read_idx, s, substr({THREE.format('seq', '0121')}, s::int + 1, 16) as x from (select read_idx, seq, unnest(range(length(seq) - 15)) as s from r where length(seq) >= 16))",
+    "decode_2bit": f"with {READS} select read_idx, regexp_replace(seq, '[^ACGT]', 'A', 'g') as seq from r",
     "encode_2bit": f"""with {READS}, b as (select read_idx, (i // 32)::int as word_no, i % 32 as k, case substr(seq, i::int + 1, 1) when 'C' then 1 when 'G' then 2 when 'T' then 3 else 0 end as v from (select read_idx, seq, unnest(range(length(seq))) as i from r))
       select read_idx, word_no, (sum(case when k < 16 then v * (4 ** k)::bigint else 0 end)::hugeint + sum(case when k >= 16 then v * (4 ** (k - 16))::bigint else 0 end)::hugeint * 4294967296)::varchar as word from b group by 1, 2""",
     "cigar_parse": f"with {SAM}{OPS} select line_no, (op_no - 1)::int as op_no, op, len from ops",

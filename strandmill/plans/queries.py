@@ -22,7 +22,8 @@ def query(f):
 
 
 def reads_of(spark: SparkSession, d: str) -> DataFrame:
-    return views.clean_reads(spark, d)
+    """Reads with a sequence: what every query on sequences looks at."""
+    return views.seq_reads(spark, d)
 
 
 # ------------------------------------------------------------- sources, sampling
@@ -44,7 +45,7 @@ def sample_reads(spark, d):
 @query
 def sample_pairs(spark, d):
     r = reads_of(spark, d).select("read_idx", "seq")
-    mates = r.where("read_idx % 10 <> 0").select("read_idx", sequence.reverse_complement(F.col("seq")).alias("seq"))
+    mates = r.select("read_idx", sequence.reverse_complement(F.col("seq")).alias("seq"))
     return sampling.sample_pairs(r, mates, 500)
 
 
@@ -79,8 +80,9 @@ def adapter_detect(spark, d):
 
 @query
 def adapter_trim(spark, d):
-    r = reads_of(spark, d).where("mate = 1").select("read_idx", "seq", "qual")
-    return adapters.trim(r, adapters.ADAPTERS["illumina_universal"]).select("read_idx", "seq", "cut_at")
+    """Both mates, each with its own adapter."""
+    r = reads_of(spark, d).select("read_idx", "mate", "seq")
+    return adapters.trim_mates(r, adapters.ADAPTERS["illumina_universal"], adapters.ADAPTERS["illumina_small_rna"]).select("read_idx", "seq", "cut_at")
 
 
 @query
@@ -120,7 +122,7 @@ def umi_stats(spark, d):
 # ------------------------------------------------------------- quality
 @query
 def qc_totals(spark, d):
-    return qc.totals(reads_of(spark, d))
+    return qc.totals(read_table(spark, d, "reads"))
 
 
 @query
@@ -140,12 +142,12 @@ def qc_gc_hist(spark, d):
 
 @query
 def qc_read_quality(spark, d):
-    return qc.read_quality(reads_of(spark, d))
+    return qc.read_quality(views.qual_reads(spark, d))
 
 
 @query
 def qc_per_base_quality(spark, d):
-    return qc.per_base_quality(reads_of(spark, d))
+    return qc.per_base_quality(views.qual_reads(spark, d))
 
 
 @query
@@ -170,7 +172,7 @@ def qc_adapters(spark, d):
 
 @query
 def qc_grade(spark, d):
-    return qc.grade(reads_of(spark, d))
+    return qc.grade(views.qual_reads(spark, d), reads_of(spark, d))
 
 
 # ------------------------------------------------------------- scalars
@@ -190,8 +192,8 @@ def encode_3base(spark, d):
 
 @query
 def kmer_code(spark, d):
-    r = reads_of(spark, d).where("length(seq) >= 16")
-    return r.select("read_idx", sequence.kmer_code(F.substring(conversion.three_letter_code(F.col("seq"), "ct"), 1, 16)).alias("code"))
+    """Codes of all 16-mers of all reads."""
+    return align.read_seeds(reads_of(spark, d), 16, 1)
 
 
 @query
@@ -200,6 +202,13 @@ def encode_2bit(spark, d):
     return w.select("read_idx", "word_no", F.col("word").cast("string").alias("word"))
 
 
+@query
+def decode_2bit(spark, d):
+    """Words of two bits a base, read back (other letters as A)."""
+    r = reads_of(spark, d).select("read_idx", sequence.bases_2bit(sequence.words_2bit(F.col("seq")), F.length("seq")).alias("seq"))
+    return r
+
+
 @query
 def cigar_parse(spark, d):
     return views.sam(spark, d).select("line_no", F.posexplode(sequence.cigar_ops(F.col("cigar"))).alias("op_no", "o")).select("line_no", "op_no", "o.op", "o.len")
@@ -212,7 +221,7 @@ def cigar_expand(spark, d):
 
 @query
 def phred_decode(spark, d):
-    return reads_of(spark, d).select("read_idx", F.aggregate(sequence.qualities(F.col("qual")), F.lit(0), lambda a, x: a + x).alias("sum_quality"))
+    return views.qual_reads(spark, d).select("read_idx", F.aggregate(sequence.qualities(F.col("qual")), F.lit(0), lambda a, x: a + x).alias("sum_quality"))
 
 
 @query

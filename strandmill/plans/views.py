@@ -46,10 +46,20 @@ def truth(spark: SparkSession, d: str) -> DataFrame:
     return sites.select("chrom", "pos", F.when(h2(F.concat(F.lit("m:"), F.col("pos").cast("string"))) < "b3", 1).otherwise(0).alias("methylated"))
 
 
-def clean_reads(spark: SparkSession, d: str) -> DataFrame:
-    """Reads with sequence and quality of one length, in upper case."""
+def seq_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Reads with a sequence, in upper case, whatever their quality string."""
     r = read_table(spark, d, "reads").withColumn("seq", F.upper(F.trim("seq")))
-    return r.where("seq <> '' and length(seq) = length(qual)").select("read_idx", "library", "mate", "name", "seq", "qual")
+    return r.where("seq <> ''").select("read_idx", "library", "mate", "name", "seq", "qual")
+
+
+def qual_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Reads with a quality string, whatever their sequence."""
+    return read_table(spark, d, "reads").where("length(qual) > 0").select("read_idx", "library", "qual")
+
+
+def clean_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Reads with sequence and quality of one length: those that can be aligned."""
+    return seq_reads(spark, d).where("length(seq) = length(qual)")
 
 
 def sam(spark: SparkSession, d: str) -> DataFrame:
