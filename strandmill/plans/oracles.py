@@ -119,7 +119,20 @@ OFFSETS = LINES + f""", bad as (select line_id, reason, s, case {bad_column} els
 
 MEAN = "round_even(sum((f1_score * 10000)::bigint)::double / (count(*) * 10000.0::double), 6)"
 
+CLEAN = READS[:-1] + " and length(trim(seq)) = length(qual))"
+NAMED = CLEAN + ", nr as (select read_idx, case when starts_with(name, '@') then name else '@' || name end as name, seq, qual from r where name is not null)"
+CONTIGS = BLOCKS + ", ctg as (select 'ctg' || (block_id // 64) as chrom, string_agg(seq, '' order by block_id) as seq from blocks group by 1)"
+
 ORACLES: dict[str, str] = {
+    "fastq_scan": f"with {NAMED} select name, seq, qual from nr",
+    "fastq_gzip_scan": f"with {NAMED} select ltrim(name, '@') as bare, seq, qual from nr",
+    "fastq_indexed": f"with {NAMED} select row_number() over (order by read_idx) - 1 as read_idx, name from nr",
+    "head_reads": f"with {READS} select read_idx, seq from r where read_idx < 1000",
+    "fasta_scan": f"with {CONTIGS} select chrom, seq, length(seq) as length from ctg",
+    "fasta_flat": f"with {CONTIGS} select chrom, b as block_id, substr(seq, (b * 1024 + 1)::int, 1024) as seq from (select *, unnest(range((length(seq) + 1023) // 1024)) as b from ctg)",
+    "sam_scan": f"with {SAM} select qname, flag, rname, pos, mapq, cigar, rnext, (line_no * 7919) % ({G} - 200) + 151 as pnext, tlen, seq, qual from sam",
+    "bed4_scan": 'select chrom, pos as "start", pos + 1 as "end", methylated from bed_sites',
+    "results_file": f"with {RESULTS} select sample, aligner, f1_score, precision, recall, accuracy from res",
     "count_reads": "select library, count(*) as reads from reads group by library",
     "sam_mapped": f"with {SAM} select line_no, qname, flag, pos, cigar from sam where flag & 4 = 0",
     "sample_reads": f"with {READS} select read_idx, seq from r order by md5(read_idx || ':42'), read_idx limit 1000",
@@ -211,3 +224,5 @@ ORACLES: dict[str, str] = {
     "p5_errors": f"with {OFFSETS} select file_name, reason, count(*) as lines, min(line_no) as first_line, min(error_offset) as least_offset from spot join raw_calls using (line_id) group by 1, 2",
     "p5_valid": f"""with {LINES} select line_id, chrom, {", ".join(f'"{c}"::{"double" if c == "level" else "bigint"} as "{c}"' for c in P5_NAMES[1:])} from told where reason is null""",
 }
+ORACLES["perbase_file"] = ORACLES["perbase"]
+ORACLES["bed7_scan"] = f'select chrom, pos as "start", pos + 1 as "end", level, meth_count, unmeth_count, coverage from ({ORACLES["call_ref_anchored"]})'

@@ -10,9 +10,9 @@ from ..operators import adapters, align, correct, evaluate, pileup, qc, sampling
 from ..session import read_table
 from ..sources import delimited
 from ..streaming import pileup as streaming_pileup
-from . import views
+from . import roundtrips, views
 
-QUERIES: dict = {}
+QUERIES: dict = dict(roundtrips.QUERIES)
 K, READ = 10, 50
 
 
@@ -345,10 +345,15 @@ def filter_unconverted(spark, d):
 
 @query
 def filter_model(spark, d):
-    s = views.sam(spark, d)
-    # without a truth for reads, the label is whether the read is rejected by two of the plain rules
-    labelled = correct.clip_fraction(s).select("line_no", ((F.col("mapq") < 20) | (F.col("clip_fraction") > 0.5)).cast("double").alias("label"))
-    return correct.model_filter(s, labelled).select("line_no")
+    """Reads cut from the genome, at their best ungapped hit; the label is whether that is not where they come from."""
+    scored = regions_of(spark, d, READ).select("read_idx", "chrom", "start", "cand_rank", "seeds", align.ungapped_score(F.col("seq"), F.col("region")).alias("score"))
+    reads = views.genome_reads(spark, d)
+    best = align.best_hit(scored).join(reads, "read_idx")
+    placed = best.select(
+        F.col("read_idx").alias("line_no"), (F.col("start") != F.col("start0")).cast("double").alias("label"), F.least(F.lit(60), F.col("seeds") * 6).cast("int").alias("mapq"), F.lit("50M").alias("cigar"), F.lit(0).alias("tlen"), F.lit(0).alias("flag"), "seq",
+        F.repeat(F.lit("I"), F.greatest(F.col("score"), F.lit(1)).cast("int")).alias("qual"),
+    )
+    return correct.model_filter(placed.drop("label"), placed.select("line_no", "label")).select("line_no")
 
 
 @query

@@ -12,9 +12,8 @@ record is dropped; an empty file has no rows.
 
 from __future__ import annotations
 
-import glob
 import gzip
-import os
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -62,16 +61,15 @@ def records(f, start: int, end: int | None):
 
 class FastqReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.pattern = options["path"]
+        self.files = json.loads(options["files"])
         self.split = int(options.get("splitbytes", 64 << 20))
 
     def partitions(self):
         out = []
-        for path in sorted(p for one in self.pattern.split(",") for p in glob.glob(one)):
+        for path, size in self.files:
             if path.endswith(".gz"):
                 out.append(Range(path, 0, None))
             else:
-                size = os.path.getsize(path)
                 out += [Range(path, a, min(size, a + self.split)) for a in range(0, size, self.split)]
         return out or [Range("", 0, 0)]
 
@@ -84,7 +82,7 @@ class FastqReader(DataSourceReader):
 
 
 class FastqSource(DataSource):
-    """``spark.read.format("fastq").load(path)``; path may be a pattern of a mounted folder."""
+    """Reads the files (path and size) named in its option ``files``; see ``read_fastq``."""
 
     @classmethod
     def name(cls) -> str:
@@ -97,9 +95,29 @@ class FastqSource(DataSource):
         return FastqReader(dict(self.options))
 
 
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, size) of the files that match ``path`` (patterns, split at commas), by name.
+
+    Listed through Hadoop's file system. Tasks open the files themselves, so they
+    must lie in a folder that all machines mount; another file system is an error, and
+    so is a pattern without a match.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    out = []
+    for one in path.split(","):
+        where = hadoop.Path(one)
+        if where.getFileSystem(conf).getUri().getScheme() != "file":
+            raise ValueError(f"FASTQ files must lie in a folder that all machines mount: {one}")
+        found = where.getFileSystem(conf).globStatus(where)
+        if not found:
+            raise FileNotFoundError(one)
+        out += [(f.getPath().toUri().getPath(), f.getLen()) for f in found]
+    return sorted(out)
+
+
 def read_fastq(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
     spark.dataSource.register(FastqSource)
-    return spark.read.format("fastq").option("splitBytes", split_bytes).load(path)
+    return spark.read.format("fastq").option("files", json.dumps(listed(spark, path))).option("splitBytes", split_bytes).load()
 
 
 def with_read_idx(records_: DataFrame) -> DataFrame:

@@ -56,8 +56,10 @@ def read_bed(spark: SparkSession, path: str, schema: str = BED7) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a results file: {"results": [...]} or a plain list."""
-    raw = spark.read.option("multiLine", True).json(path)
+    """Rows of a results file: JSON lines, {"results": [...]} or a plain list."""
+    raw = spark.read.json(path)
+    if "_corrupt_record" in raw.columns:  # a document of more than one line
+        raw = spark.read.option("multiLine", True).json(path)
     if "results" in raw.columns:
         return raw.select(F.explode("results").alias("r")).select("r.*")
     return raw
