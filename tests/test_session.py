@@ -41,3 +41,11 @@ def test_a_cluster_must_name_the_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+
+
+def test_discard(spark):
+    t = session.materialize(spark.range(5), "t")
+    folder = t.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    assert os.path.isdir(folder)
+    session.discard(t)
+    assert not os.path.exists(folder)
