@@ -218,6 +218,22 @@ def train(docs: DataFrame, per_language: int = 160, windows_a_document: int = 16
     return net.fit(x, y)
 
 
+_FITTED: dict[tuple, ByteNet] = {}
+
+
+def fitted(docs: DataFrame, **params) -> ByteNet:
+    """The network for a table, fitted once in a session.
+
+    The first call runs the training (two jobs, then numpy on the driver); what
+    asks again for the same table and parameters gets the same weights.
+    """
+    key = (docs.sparkSession.sparkContext.applicationId, docs.semanticHash(), tuple(sorted(params.items())))
+    if key not in _FITTED:
+        _FITTED.clear()
+        _FITTED[key] = train(docs, **params)
+    return _FITTED[key]
+
+
 # ------------------------------------------------------------------ labelling
 def smooth(lp: np.ndarray, weight: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Most likely language of each window when every change costs ``switch``."""

@@ -150,7 +150,7 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- problem 8
 def told_stretches(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents").select("doc_id", "lang", "text")
-    return langid.stretches(docs, langid.train(docs))
+    return langid.stretches(docs, langid.fitted(docs))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -175,6 +175,10 @@ QUERIES = {
 _INSERTS = """u as (select library, max(location) as location, coalesce(max(umi_length), 0)::int as n from umi_stats group by library),
   s as (select read_idx, upper(trim(seq)) as s, location, n from reads left join u using (library) where seq is not null),
   ins as (select read_idx, case location when 'inline_5prime' then substr(s, n + 1) when 'inline_3prime' then left(s, greatest(length(s) - n, 0)) else s end as t from s)"""
+_HITS = f"""{_INSERTS}, g as (select t, row_number() over (order by t) as id, min(read_idx) as least from ins where length(t) >= 8 group by t),
+      k as (select distinct id, substr(t, i::int, 8) as k from (select id, t, unnest(range(1, length(t) - 6)) as i from g)), z as (select id, count(*) as n from k group by id),
+      c as (select a.id as a, b.id as b, count(*) as i from k a join k b on a.k = b.k and a.id < b.id group by 1, 2),
+      hit as (select a, b from c join z x on x.id = a join z y on y.id = b where 2 * c.i >= x.n + y.n - c.i)"""
 _CALLS = """v as (select lower(trim(chrom)) as chrom, coalesce(strftime(called_ts, '%Y-%m-%d'), 'none') as day, unnest([{'m': 'coverage', 'v': coverage::double}, {'m': 'level', 'v': level}]) as x from calls where chrom is not null),
   w as (select chrom, day, x.m as measure, x.v as v from v where x.v is not null and not isnan(x.v))"""
 
@@ -193,11 +197,10 @@ def _percentiles(keys: str, shares: list[float]) -> str:
 
 # p1_found compares all pairs that share an n-gram; fine at the size of the check, too slow beyond
 ORACLES: dict[str, str] = {
-    "p1_found": f"""with {_INSERTS}, g as (select t, row_number() over (order by t) as id from ins where length(t) >= 8 group by t),
-      k as (select distinct id, substr(t, i::int, 8) as k from (select id, t, unnest(range(1, length(t) - 6)) as i from g)), z as (select id, count(*) as n from k group by id),
-      c as (select a.id as a, b.id as b, count(*) as i from k a join k b on a.k = b.k and a.id < b.id group by 1, 2),
-      hit as (select a, b from c join z x on x.id = a join z y on y.id = b where 2 * c.i >= x.n + y.n - c.i)
-      select least(p.read_idx, q.read_idx) as read_idx_a, greatest(p.read_idx, q.read_idx) as read_idx_b from hit join g x on x.id = a join g y on y.id = b join ins p on p.t = x.t join ins q on q.t = y.t""",
+    "p1_found": f"""with {_HITS} select least(p.read_idx, q.read_idx) as read_idx_a, greatest(p.read_idx, q.read_idx) as read_idx_b from hit join g x on x.id = a join g y on y.id = b join ins p on p.t = x.t join ins q on q.t = y.t""",
+    "p1_groups": f"""with recursive {_HITS}, e as (select x.least as a, y.least as b from hit join g x on x.id = a join g y on y.id = b), both_ways as (select a, b from e union select b, a from e),
+      reach as (select a, b from both_ways union select r.a, w.b from reach r join both_ways w on w.a = r.b)
+      select a as read_idx, min(b) as class_id, (select count(*) from both_ways w where w.a = reach.a) as links from reach group by a""",
     "p2_found": """with k as (select read_idx, regexp_replace(upper(trim(umi)), '[^ACGT]', 'N', 'g') as k from reads)
       select read_idx from (select read_idx, min(read_idx) over (partition by k) as first from k where length(k) >= 4) where read_idx > first""",
     "p2_error": """with k as (select read_idx, read_idx // 131072 as batch, regexp_replace(upper(trim(umi)), '[^ACGT]', 'N', 'g') as k from reads),

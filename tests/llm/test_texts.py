@@ -251,4 +251,5 @@ def test_stretches_and_cases(spark, net):
 
 def test_training_without_labels(spark):
     df = spark.createDataFrame([(1, None, "text")], "doc_id bigint, lang string, text string")
-    assert langid.stretches(df, langid.train(df)).count() == 1
+    assert langid.fitted(df) is langid.fitted(df)
+    assert langid.stretches(df, langid.fitted(df)).count() == 1
