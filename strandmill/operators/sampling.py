@@ -16,8 +16,14 @@ def draw_key(id_col: str, seed: int) -> F.Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
 
 
+#: rows up to which a draw is ordered in one task
+ONE_TASK = 100_000
+
+
 def sample_reads(reads: DataFrame, n: int, seed: int = 42, id_col: str = "read_idx") -> DataFrame:
     """min(n, all) rows, each set of rows as likely as another."""
+    if n > ONE_TASK:
+        return _first_drawn(reads, lambda total: min(n, total), seed, id_col)
     return reads.orderBy(draw_key(id_col, seed), id_col).limit(n)
 
 
@@ -28,7 +34,12 @@ def sample_pairs(read1: DataFrame, read2: DataFrame, n: int, seed: int = 42) ->
 
 
 def sample_percent(reads: DataFrame, percent: float, seed: int = 42, id_col: str = "read_idx") -> DataFrame:
-    """max(1, floor(all * percent / 100)) rows, the first of the draw.
+    """max(1, floor(all * percent / 100)) rows, the first of the draw."""
+    return _first_drawn(reads, lambda total: max(1, int(total * percent / 100)), seed, id_col)
+
+
+def _first_drawn(reads: DataFrame, wanted, seed: int, id_col: str) -> DataFrame:
+    """The first ``wanted(number of rows)`` rows of the draw.
 
     A share of a large set is too much to take in one task: rows are counted by
     the first four digits of their draw (65,536 counts reach the driver), all
@@ -36,8 +47,8 @@ def sample_percent(reads: DataFrame, percent: float, seed: int = 42, id_col: str
     """
     keyed = reads.withColumn("__draw", draw_key(id_col, seed))
     digits = F.substring("__draw", 1, 4)
-    counts = sorted((r["d"], r["count"]) for r in keyed.groupBy(digits.alias("d")).count().collect())
-    want, cut = max(1, int(sum(n for _, n in counts) * percent / 100)), ""
+    counts = sorted((r["d"], r["count"]) for r in keyed.groupBy(digits.alias("d")).count().where("d is not null").collect())
+    want, cut = wanted(sum(n for _, n in counts)), ""
     for cut, n in counts:
         if n >= want:
             break
@@ -50,8 +61,3 @@ def head(reads: DataFrame, n: int) -> DataFrame:
     """The first n records by index, whatever the partitioning."""
     return reads.where(F.col("read_idx") < n)
 
-
-def first_per(reads: DataFrame, key: str, n: int) -> DataFrame:
-    """The first n rows of each key by index (limited in each task before the shuffle)."""
-    w = Window.partitionBy(key).orderBy("read_idx")
-    return reads.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")

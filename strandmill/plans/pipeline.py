@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..operators import adapters, align, correct, evaluate, pileup, simulate, umi
 from ..session import materialize
+from ..sources import textfiles
 
 
 class Aligner(Protocol):
@@ -58,6 +59,20 @@ class SeedExtend:
         return pileup.call_ref_anchored(sam, genome, self.conversion)
 
 
+class Scanned:
+    """Another program's output as an aligner: its SAM file, or the BED7 file of its calls."""
+
+    def __init__(self, name: str, sam: str | None = None, bed: str | None = None, conversion: str = "ct"):
+        if not (sam or bed):
+            raise ValueError(f"{name}: give a SAM or a BED file")
+        self.name, self.sam, self.bed, self.conversion = name, sam, bed, conversion
+
+    def calls(self, spark: SparkSession, genome: DataFrame) -> DataFrame:
+        if self.bed:
+            return textfiles.read_bed(spark, self.bed).select("chrom", F.col("start").alias("pos"), "level", "meth_count", "unmeth_count", "coverage")
+        return pileup.call_ref_anchored(textfiles.read_sam(spark, self.sam), genome, self.conversion)
+
+
 REGISTRY = {SeedExtend.name: SeedExtend}
 # fixed values: programs whose SAM or BED output can be read in
 EXTERNAL = ("bwameth.py", "bsbolt", "bsmap", "walt", "abismal", "batmeth2", "basal", "hisat-3n", "bismark", "bs_seeker2-align.py")
@@ -149,13 +164,14 @@ def correct_sites(calls: DataFrame, genome: DataFrame, read_length: int, s: Sett
     return calls
 
 
-def run(spark: SparkSession, reads: DataFrame, contigs: DataFrame, truth: DataFrame | None, settings: Settings, labelled: DataFrame | None = None) -> dict[str, DataFrame]:
+def run(spark: SparkSession, reads: DataFrame, contigs: DataFrame, truth: DataFrame | None, settings: Settings, labelled: DataFrame | None = None, others: tuple[Scanned, ...] = ()) -> dict[str, DataFrame]:
     """Everything from reads to ranks: {reads, sam, rejected, calls, scores, ranking}.
 
     ``reads``: read_idx (one for both mates, unique over samples), mate, name, seq,
     qual and, for more than one, sample; null seq or qual are left out. ``contigs``:
     chrom, seq, length. ``truth``: chrom, pos, methylated. A sample without calls has
-    a row with status ``no_output``. Alignments are written once and read by what
+    a row with status ``no_output``. ``others`` are scanned outputs of other aligners,
+    for a run of one sample. Alignments are written once and read by what
     follows.
     """
     if "sample" not in reads.columns:
@@ -173,14 +189,18 @@ def run(spark: SparkSession, reads: DataFrame, contigs: DataFrame, truth: DataFr
     genome = bases_of(axis)
     calls = pileup.call_ref_anchored(kept, genome, settings.conversion, ("sample",)).where(F.col("coverage") >= settings.min_cov)
     calls = correct_sites(calls, genome, longest, settings).withColumn("aligner", F.lit(own.name))
+    for other in others:
+        one = other.calls(spark, genome).where(F.col("coverage") >= settings.min_cov).withColumn("aligner", F.lit(other.name))
+        calls = calls.unionByName(one.join(F.broadcast(samples.limit(1))).select(*calls.columns))
     out = {"reads": ready, "sam": kept, "calls": calls}
     if rejected is not None:
         out["rejected"] = rejected
     if truth is not None:
         scores = evaluate.metrics(calls, truth, ["sample", "aligner"])
-        known = samples.join(calls.groupBy("sample").agg(F.count(F.lit(1)).alias("sites_called")), "sample", "left")
+        names = spark.createDataFrame([(own.name,), *((o.name,) for o in others)], "aligner string")
+        known = samples.join(F.broadcast(names)).join(calls.groupBy("sample", "aligner").agg(F.count(F.lit(1)).alias("sites_called")), ["sample", "aligner"], "left")
         status = F.when(F.col("sites_called").isNull(), "no_output").when(F.col("sites_overlap").isNull(), "no_overlap").otherwise("ok")
-        out["scores"] = known.join(scores, "sample", "left").withColumn("status", status)
+        out["scores"] = known.join(scores, ["sample", "aligner"], "left").withColumn("status", status)
         out["ranking"] = evaluate.ranked(evaluate.metrics(calls, truth, ["aligner"]))
     return out
 

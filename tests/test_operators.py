@@ -196,3 +196,13 @@ def test_simulation_is_repeatable(spark):
     assert all(len(r[3]) == len(r[4]) == 50 for r in rows(a))
     rate = np.mean([r.methylated for r in a["truth"].collect()])
     assert 0.6 < rate < 0.8
+
+
+def test_large_samples_match_the_ordered_draw(spark, monkeypatch):
+    from strandmill.operators import sampling
+
+    df = spark.range(5000).withColumnRenamed("id", "read_idx")
+    small = {r.read_idx for r in sampling.sample_reads(df, 700).collect()}
+    monkeypatch.setattr(sampling, "ONE_TASK", 10)
+    assert {r.read_idx for r in sampling.sample_reads(df, 700).collect()} == small
+    assert sampling.sample_reads(df, 9000).count() == 5000

@@ -93,6 +93,19 @@ def test_run_on_files(spark, tmp_path):
     assert textfiles.read_bed(spark, str(out / "calls")).count() > 100
 
 
+def test_scanned_outputs_beside_the_own_aligner(spark, tmp_path):
+    contigs = two_contigs()
+    reads, genome, truth = frames(spark, cut_reads(contigs), contigs)
+    reads = reads.withColumn("sample", F.lit("one"))
+    done = pipeline.run(spark, reads, genome, truth, config.Settings())
+    sam = textfiles.single_file(textfiles.sam_lines(done["sam"].drop("AS")), f"{tmp_path}/a.sam")
+    bed = textfiles.single_file(textfiles.bed7_lines(done["calls"].where("coverage > 1")), f"{tmp_path}/a.bed")
+    both = pipeline.run(spark, reads, genome, truth, config.Settings(), others=(pipeline.Scanned("by_sam", sam=sam), pipeline.Scanned("by_bed", bed=bed)))
+    rows = {r.aligner: r for r in both["scores"].collect()}
+    assert rows["by_sam"].f1_score == rows["seed_extend"].f1_score and rows["by_bed"].sites_called < rows["by_sam"].sites_called
+    assert {r.aligner for r in both["ranking"].collect()} == {"seed_extend", "by_sam", "by_bed"}
+
+
 def test_batch_and_report(spark, tmp_path):
     path = config.write(config.batch(4), f"{tmp_path}/b.json")
     samples = config.load_batch(path)
