@@ -64,10 +64,11 @@ def per_base(sam: DataFrame, conversion: str = "ct", min_qual: int = 0, by_read_
     """
     b = _stranded(sam, conversion, min_qual, ["line_no"], by_read_offset)
     site = [F.col("rname").alias("chrom"), (F.col("ref_pos") + 1).alias("pos"), "strand"]
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "aligned_idx", "q", "converted")))
-    parts = b.groupBy(*site, F.floor(F.col("line_no") / LINES).alias("part")).agg(ordered.alias("x"))
-    told = lambda keep: F.array_join(F.transform(F.filter("x", keep), lambda x: x["q"]), "")
-    parts = parts.select("chrom", "pos", "strand", F.struct("part", told(lambda x: x["converted"]).alias("yes"), told(lambda x: ~x["converted"]).alias("no")).alias("s"))
+    # line in its range, place in the read, quality and class as one number: sorted as such
+    packed = F.pmod("line_no", F.lit(LINES)) * F.lit(1 << 46) + F.col("aligned_idx") * F.lit(1 << 9) + F.ascii("q") * 2 + F.col("converted").cast("int")
+    parts = b.groupBy(*site, F.floor(F.col("line_no") / LINES).alias("part")).agg(F.sort_array(F.collect_list(packed.cast("bigint"))).alias("x"))
+    told = lambda bit: F.array_join(F.transform(F.filter("x", lambda x: x.bitwiseAND(F.lit(1)) == bit), lambda x: F.char(F.shiftright(x, 1).bitwiseAND(F.lit(255)))), "")
+    parts = parts.select("chrom", "pos", "strand", F.struct("part", told(1).alias("yes"), told(0).alias("no")).alias("s"))
     sites = parts.groupBy("chrom", "pos", "strand").agg(F.array_sort(F.collect_list("s")).alias("s"))
     text = lambda c: F.array_join(F.transform("s", lambda x: x[c]), "")
     sites = sites.select("chrom", "pos", "strand", text("yes").alias("converted_quals"), text("no").alias("unconverted_quals"))
