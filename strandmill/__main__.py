@@ -72,7 +72,7 @@ def main(argv: list[str] | None = None) -> int:
         if len(mates) > 1:
             s = overlay(s, {"mode": "pe"})
         truth = textfiles.read_bed(spark, a.truth, textfiles.BED4).select("chrom", F.col("start").alias("pos"), "methylated") if a.truth else None
-        save(pipeline.run(spark, reads, textfiles.read_fasta(spark, a.reference), truth, s), reads, a.out)
+        save(pipeline.run(spark, reads, textfiles.read_fasta_blocks(spark, a.reference, pipeline.BLOCK), truth, s), reads, a.out)
     elif a.command == "report":
         results = textfiles.read_results(spark, a.results)
         page = report.samples_report(results) if "sample" in results.columns and "grp" in results.columns else report.html_page("Results", {"Ranking": report.html_table(results.orderBy(F.desc("f1_score")), "f1_score")})
@@ -99,14 +99,14 @@ def main(argv: list[str] | None = None) -> int:
     else:
         reads = fastq.with_read_idx(fastq.read_fastq(spark, a.reads))
         if a.command == "extract":
-            textfiles.single_file(textfiles.fastq_lines(sampling.sample_reads(reads, a.num_reads, a.seed)), a.out)
+            textfiles.save_lines(textfiles.fastq_lines(sampling.sample_reads(reads, a.num_reads, a.seed)), a.out)
         elif a.command == "qc":
             with open(a.out, "w") as f:
                 f.write(report.quality_report(reads))
             print(report.text_table(qc.grade(reads.where("length(qual) > 0"), reads.where("seq <> ''"))))
         elif a.command == "umi":
             keyed = reads.withColumn("umi", umi.standard(umi.from_header(F.col("name"))))
-            textfiles.single_file(textfiles.fastq_lines(umi.dedup(keyed)), a.out)
+            textfiles.save_lines(textfiles.fastq_lines(umi.dedup(keyed)), a.out)
             print(report.text_table(umi.stats(keyed)))
     return 0
 

@@ -90,14 +90,14 @@ def blocks_of(genome: DataFrame, block: int = 32) -> DataFrame:
 BLOCK = 32
 
 
-def contig_axis(contigs: DataFrame, reach: int) -> DataFrame:
-    """(block_id, chrom, shift, seq): blocks of all contigs, more than ``reach`` bases apart."""
-    own, room = F.ceil(F.col("length") / BLOCK).cast("long"), -(-reach // BLOCK) + 2
+def contig_axis(blocks: DataFrame, reach: int) -> DataFrame:
+    """(block_id, chrom, shift, seq): the blocks of all contigs on one axis, contigs more than ``reach`` bases apart."""
+    room = -(-reach // BLOCK) + 2
+    sizes = blocks.groupBy("chrom").agg((F.max("block_id") + 1 + room).alias("n"))
     # one row a contig
-    before = F.coalesce(F.sum(own + room).over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = contigs.select("chrom", F.col("seq").alias("__s"), own.alias("n"), before.alias("first"))
-    cut = placed.select("chrom", "__s", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    return cut.select((F.col("first") + F.col("k")).alias("block_id"), "chrom", (F.col("first") * BLOCK).alias("shift"), F.substring("__s", (F.col("k") * BLOCK + 1).cast("int"), F.lit(BLOCK)).alias("seq"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.join(sizes.select("chrom", before.alias("first")), "chrom")
+    return placed.select((F.col("first") + F.col("block_id")).alias("block_id"), "chrom", (F.col("first") * BLOCK).alias("shift"), "seq")
 
 
 def bases_of(axis: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def run(spark: SparkSession, reads: DataFrame, contigs: DataFrame, truth: DataFr
 
     ``reads``: read_idx (one for both mates, unique over samples), mate, name, seq,
     qual and, for more than one, sample; null seq or qual are left out. ``contigs``:
-    chrom, seq, length. ``truth``: chrom, pos, methylated. A sample without calls has
+    chrom, seq, length, or blocks of ``BLOCK`` bases: chrom, block_id, seq. ``truth``: chrom, pos, methylated. A sample without calls has
     a row with status ``no_output``. ``others`` are scanned outputs of other aligners,
     for a run of one sample. Alignments are written once and read by what
     follows.
@@ -180,7 +180,8 @@ def run(spark: SparkSession, reads: DataFrame, contigs: DataFrame, truth: DataFr
     samples = reads.select("sample").distinct()
     longest = reads.agg(F.max(F.length("seq"))).first()[0] or 1
     own = SeedExtend(longest, settings.conversion, settings.aligner.seed_length)
-    axis = materialize(contig_axis(contigs, own.reach), "contigs")
+    blocks = contigs if "block_id" in contigs.columns else textfiles.fasta_blocks(contigs, BLOCK)
+    axis = materialize(contig_axis(blocks, own.reach), "contigs")
     ready = preprocess(reads, settings)
     # positional mates: both are aligned as they are
     first, second = (own.align_contigs(ready.where(F.col("mate") == m), axis, ("sample",)) for m in (1, 2))
@@ -209,7 +210,7 @@ def run_simulated(spark: SparkSession, settings: Settings) -> DataFrame:
     """Ranked scores of the built-in and four mock aligners on simulated reads."""
     s = settings.simulation
     made = simulate.simulate_reads(spark, s.genome_length, s.num_reads, s.read_length, methylation_rate=s.methylation_rate, error_rate=s.error_rate, conversion_rate=s.conversion_rate, conversion=settings.conversion, mode=settings.mode, seed=settings.seed)
-    contigs = blocks_of(made["genome"], 1 << 20).groupBy(F.lit("chr_sim").alias("chrom")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_id", "seq"))), lambda x: x["seq"]), "").alias("seq")).withColumn("length", F.length("seq"))
+    contigs = blocks_of(made["genome"]).withColumn("chrom", F.lit("chr_sim"))
     calls = run(spark, made["reads"], contigs, made["truth"], settings)["calls"].drop("sample")
     every = calls.unionByName(align.mock_call(made["genome"], settings.conversion[0].upper()).select(*calls.columns))
     return evaluate.ranked(evaluate.metrics(every, made["truth"], ["aligner"]))

@@ -57,7 +57,7 @@ def fasta_scan(spark: SparkSession, d: str) -> DataFrame:
 
 def fasta_flat(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of 1,024 bases of a scanned file."""
-    return textfiles.fasta_blocks(textfiles.read_fasta(spark, written(textfiles.fasta_lines(contigs(spark, d)))))
+    return textfiles.read_fasta_blocks(spark, written(textfiles.fasta_lines(contigs(spark, d))))
 
 
 def sam_scan(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -40,6 +40,36 @@ def fasta_blocks(contigs: DataFrame, block: int = 1024) -> DataFrame:
     return contigs.select("chrom", F.col("seq").alias("__s"), F.explode(F.sequence(F.lit(0), n - 1)).alias("block_id")).select("chrom", F.col("block_id").cast("long").alias("block_id"), F.substring("__s", F.col("block_id") * block + 1, F.lit(block)).alias("seq"))
 
 
+def read_fasta_blocks(spark: SparkSession, path: str, block: int = 1024) -> DataFrame:
+    """(chrom, block_id, seq): a FASTA file as pieces of ``block`` bases, no contig in one row.
+
+    Same rules as ``read_fasta``. Lines get their place by running sums inside each
+    file split; what a split adds to each contig (a row a contig and split) is
+    summed up over the file to where the split's lines begin.
+    """
+    m = F.col("_metadata")
+    lines = spark.read.text(path).select(m["file_path"].alias("file"), m["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("id"), F.upper(F.regexp_replace("value", r"\s", "")).alias("s"), F.when(F.startswith("value", F.lit(">")), F.regexp_extract("value", r"^>\s*(\S*)", 1)).alias("head"))
+    inside = Window.partitionBy("file", "split").orderBy("id")
+    lines = lines.withColumn("part", F.count("head").over(inside)).withColumn("n", F.when(F.col("head").isNull(), F.length("s")).otherwise(0))
+    upto = F.sum("n").over(Window.partitionBy("file", "split", "part").orderBy("id"))
+    lines = lines.withColumn("off", upto - F.col("n"))
+    # one row for each contig that a split holds a piece of
+    pieces = lines.groupBy("file", "split", "part").agg(F.max("head").alias("head"), F.sum("n").alias("n"))
+    along = Window.partitionBy("file").orderBy("split", "part")
+    pieces = pieces.withColumn("contig", F.count("head").over(along)).withColumn("chrom", F.last("head", ignorenulls=True).over(along)).where("chrom <> ''")
+    own = Window.partitionBy("file", "contig").orderBy("split", "part")
+    pieces = pieces.withColumn("base", F.sum("n").over(own) - F.col("n"))
+    # of equal names the last wins
+    last = pieces.groupBy("chrom").agg(F.max(F.struct("file", "contig")).alias("k")).select("chrom", "k.*")
+    pieces = pieces.join(last, ["chrom", "file", "contig"], "left_semi").select("file", "split", "part", "chrom", "base")
+    placed = lines.where("n > 0").join(pieces, ["file", "split", "part"]).select("chrom", "s", (F.col("base") + F.col("off")).alias("at"))
+    cut = placed.withColumn("block_id", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.length("s") - 1) / block))))
+    first = F.greatest(F.lit(0), F.col("block_id") * block - F.col("at"))
+    piece = F.substring("s", (first + 1).cast("int"), (F.least((F.col("block_id") + 1) * block - F.col("at"), F.length("s")) - first).cast("int"))
+    whole = cut.select("chrom", "block_id", F.struct("at", piece.alias("x")).alias("p")).groupBy("chrom", "block_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return whole.select("chrom", "block_id", F.array_join(F.transform("p", lambda x: x["x"]), "").alias("seq"))
+
+
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Eleven fields, optional tags as a map, and line_no (rising, not dense); short and header lines are skipped."""
     rows = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()).where(~F.startswith("value", F.lit("@")))
@@ -66,6 +96,14 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ sinks
+def save_lines(lines: DataFrame, path: str, first: bytes = b"") -> str:
+    """A folder of ordered parts, written by the tasks, where ``path`` ends with a slash; else one file."""
+    if path.endswith("/"):
+        lines.write.mode("overwrite").text(path)
+        return path
+    return single_file(lines, path, first)
+
+
 def single_file(lines: DataFrame, path: str, first: bytes = b"") -> str:
     """One file from a frame of one string column, in the frame's order.
 
@@ -128,7 +166,7 @@ def write_per_base(sites: DataFrame, path: str) -> str:
     """UTF-8 with a byte-order mark; qualities are quoted, since they may hold commas and quotes."""
     quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
     rows = sites.orderBy("chrom", "pos", "strand").select(F.concat_ws(",", "chrom", F.col("pos").cast("string"), "strand", quoted("converted_quals"), F.col("converted_count").cast("string"), quoted("unconverted_quals"), F.col("unconverted_count").cast("string"), F.format_string("%.6f", "unconverted_rate")).alias("value"))
-    return single_file(rows, path, ("﻿" + PER_BASE_HEADER + "\n").encode())
+    return save_lines(rows, path, ("﻿" + PER_BASE_HEADER + "\n").encode())
 
 
 def write_results(results: DataFrame, folder: str) -> None:

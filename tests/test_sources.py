@@ -50,6 +50,23 @@ def test_fasta(spark, tmp_path):
     assert "".join(r.seq for r in textfiles.fasta_blocks(df, 64).orderBy("block_id").collect()) == "ACGT" * 50
 
 
+def test_fasta_blocks_over_splits(spark, tmp_path):
+    r = __import__("random").Random(4)
+    contigs = {f"c{i}": "".join(r.choice("ACGTN") for _ in range(n)) for i, n in enumerate((1, 70, 31, 32, 33, 900, 2500))}
+    text = ">c5\nAAAA\n>empty\n>\nGG\n" + "".join(f">{c} note\r\n" + "".join(s[i : i + 61].lower() + "\r\n" for i in range(0, len(s), 61)) for c, s in contigs.items())
+    (tmp_path / "g.fa").write_text(text, newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = textfiles.read_fasta_blocks(spark, str(tmp_path / "g.fa"), 32).orderBy("chrom", "block_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole: dict = {}
+    for x in got:
+        whole.setdefault(x.chrom, []).append(x)
+    assert {c: "".join(x.seq for x in rows) for c, rows in whole.items()} == contigs
+    assert all([x.block_id for x in rows] == list(range(len(rows))) and all(len(x.seq) == 32 for x in rows[:-1]) for rows in whole.values())
+
+
 def test_sam(spark, tmp_path):
     lines = ["@HD\tVN:1.6", "r1\t0\tc\t5\t60\t4M\t*\t0\t0\tACGT\tIIII\tNM:i:1\tAS:i:9", "short\t1", "r2\t4\t*\t0\t0\t*\t*\t0\t0\tAC\tII", "r3\tx\tc\t1\t1\t1M\t*\t0\t0\tA\tI"]
     (tmp_path / "a.sam").write_text("\n".join(lines) + "\n")
