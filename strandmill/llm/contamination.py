@@ -197,7 +197,7 @@ def windows(docs: DataFrame, block: Passages, least: float = 0.0) -> DataFrame:
                     n = int(block.sizes[item])
                     for a, b in _stretches(low, high, n):
                         near = held[own][1][max(0, a - n // 2) : b + n + n // 2]
-                        if straight or block.overlap(item, near) >= least * n:
+                        if straight or least <= 0 or block.overlap(item, near) >= least * n:
                             for column, v in zip(out, (held[own][0], item, near)):
                                 column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int32()))], names=["doc_id", "item", "words"])
