@@ -206,3 +206,46 @@ def test_large_samples_match_the_ordered_draw(spark, monkeypatch):
     monkeypatch.setattr(sampling, "ONE_TASK", 10)
     assert {r.read_idx for r in sampling.sample_reads(df, 700).collect()} == small
     assert sampling.sample_reads(df, 9000).count() == 5000
+
+
+def test_quality_by_ordinal_or_read_offset(spark):
+    sam = spark.createDataFrame([(1, 0, "c", 1, "2S3M", "GGCTC", "!!5&+")], "line_no bigint, flag int, rname string, pos bigint, cigar string, seq string, qual string")
+    got = {o: [(r.pos, r.converted_quals, r.unconverted_quals) for r in pileup.per_base(sam, by_read_offset=o).orderBy("pos").collect()] for o in (False, True)}
+    assert got[False] == [(1, "", "!"), (2, "!", ""), (3, "", "5")]
+    assert got[True] == [(1, "", "5"), (2, "&", ""), (3, "", "+")]
+
+
+def test_deep_site_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(pileup, "LINES", 4)
+    rows = [(i, 0, "c", 1, "1M", "C" if i % 3 else "T", chr(40 + i)) for i in range(20)]
+    sam = spark.createDataFrame(rows, "line_no bigint, flag int, rname string, pos bigint, cigar string, seq string, qual string").repartition(5)
+    r = pileup.per_base(sam).first()
+    assert r.unconverted_quals == "".join(chr(40 + i) for i in range(20) if i % 3) and r.converted_quals == "".join(chr(40 + i) for i in range(0, 20, 3))
+    assert (r.unconverted_count, r.converted_count) == (13, 7)
+
+
+def test_mates_have_their_own_adapters(spark):
+    one, two = adapters.ADAPTERS["illumina_universal"], adapters.ADAPTERS["nextera"]
+    rows = [(1, 1, "ACGTACGT" + one), (1, 2, "GGTTGGTT" + two), (2, 2, "GGTTGGTT" + one), (3, None, None)]
+    df = spark.createDataFrame(rows, "read_idx int, mate int, seq string")
+    cut = lambda **k: {(r.read_idx, r.mate): r.seq for r in adapters.trim_mates(df, one, **k).collect()}
+    assert cut(second=two) == {(1, 1): "ACGTACGT", (1, 2): "GGTTGGTT", (2, 2): "GGTTGGTT" + one, (3, None): None}
+    assert cut()[2, 2] == "GGTTGGTT"
+
+
+def test_umi_layout_from_all_reads(spark):
+    r = random.Random(2)
+    rows = [("head", i, f"@r{i}_{dna(r, 10 if i % 4 else 9)} x", "A" * 20) for i in range(300)]
+    rows += [("front", i, f"@q{i}", dna(r, 8) + "A" * 12) for i in range(300)] + [("back", i, f"@q{i}", "A" * 12 + dna(r, 8)) for i in range(300)] + [("none", i, None, "A" * 20) for i in range(300)]
+    df = spark.createDataFrame(rows, "library string, read_idx bigint, name string, seq string")
+    got = {x.library: (x.location, x.pattern, x.length) for x in umi.detect(df).collect()}
+    assert got == {"head": ("header", "simple", 10), "front": ("inline_5prime", None, None), "back": ("inline_3prime", None, None), "none": ("none", None, None)}
+
+
+def test_two_bit_words_round_trip(spark):
+    r = random.Random(3)
+    rows = [(i, dna(r, n)) for i, n in enumerate((0, 1, 31, 32, 33, 64, 100))]
+    df = spark.createDataFrame(rows, "i int, s string")
+    got = df.select("i", sequence.bases_2bit(sequence.words_2bit(F.col("s")), F.length("s")).alias("t")).collect()
+    assert {x.i: x.t for x in got} == dict(rows)
+    assert [align.seed_length_for(g) for g in (100, 3**8 + 1, 3 * 10**9)] == [8, 9, 20]
