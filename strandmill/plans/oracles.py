@@ -194,6 +194,7 @@ ORACLES: dict[str, str] = {
     "filter_clip": f"with {SAM}{OPS} select line_no, cigar from sam where coalesce((select sum(len) from ops where ops.line_no = sam.line_no and op = 'S'), 0) / length(seq) <= 0.5",
     "filter_pair": f"with {SAM} select line_no, rnext, tlen from sam where (rnext in ('=', '*') or rnext = rname) and abs(tlen) <= 1000",
     "filter_unconverted": f"with {SAM} select line_no, length(seq) - length(replace(seq, 'C', '')) as unconverted, case when length(seq) - length(replace(seq, 'C', '')) <= 3 then 'kept' else 'rejected' end as outcome from sam",
+    "filter_model": f"with {CANDIDATES} select read_idx * 10 + cand_rank as line_no from cand join gr using (read_idx) where start = start0",
     "consensus_level": f"with {CALLS} select aligner, case when coverage >= 5 and level >= 0.7 then 1.0 when coverage >= 5 and level <= 0.3 then 0.0 else level end as consensus_level, count(*) as sites from cc group by 1, 2",
     "context_posterior": f"""with {CALLS}, {GENOME}, s as (select pos % {G} as pos, sum(meth_count) as m, sum(coverage) as c from cc group by 1), f as (select s.*, coalesce(a.base, '') || b.base || coalesce(c2.base, '') as motif from s join genome b on b.pos = s.pos left join genome a on a.pos = s.pos - 1 left join genome c2 on c2.pos = s.pos + 1),
       p as (select motif, sum(m)::double / sum(c)::double as prior from f group by 1) select pos, motif, round_even(prior, 6) as prior, round_even((prior * 2 + m::double) / (2 + c::double), 6) as posterior from f join p using (motif)""",

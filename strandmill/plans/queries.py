@@ -345,13 +345,10 @@ def filter_unconverted(spark, d):
 
 @query
 def filter_model(spark, d):
-    """Reads cut from the genome, at their best ungapped hit; the label is whether that is not where they come from."""
-    scored = regions_of(spark, d, READ).select("read_idx", "chrom", "start", "cand_rank", "seeds", align.ungapped_score(F.col("seq"), F.col("region")).alias("score"))
-    reads = views.genome_reads(spark, d)
-    best = align.best_hit(scored).join(reads, "read_idx")
-    placed = best.select(
-        F.col("read_idx").alias("line_no"), (F.col("start") != F.col("start0")).cast("double").alias("label"), F.least(F.lit(60), F.col("seeds") * 6).cast("int").alias("mapq"), F.lit("50M").alias("cigar"), F.lit(0).alias("tlen"), F.lit(0).alias("flag"), "seq",
-        F.repeat(F.lit("I"), F.greatest(F.col("score"), F.lit(1)).cast("int")).alias("qual"),
+    """Candidate places of reads cut from the genome; the label is whether a candidate is not where its read comes from."""
+    found = regions_of(spark, d, READ).join(views.genome_reads(spark, d).select("read_idx", "start0"), "read_idx")
+    placed = found.select(
+        (F.col("read_idx") * 10 + F.col("cand_rank")).alias("line_no"), (F.col("start") != F.col("start0")).cast("double").alias("label"), F.least(F.lit(60), F.col("seeds") * 6).cast("int").alias("mapq"), F.lit("50M").alias("cigar"), F.lit(0).alias("tlen"), F.lit(0).alias("flag"), "seq", F.repeat(F.lit("I"), F.length("seq")).alias("qual"),
     )
     return correct.model_filter(placed.drop("label"), placed.select("line_no", "label")).select("line_no")
 
