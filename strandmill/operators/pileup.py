@@ -24,7 +24,8 @@ def call_ref_anchored(sam: DataFrame, genome: DataFrame, conversion: str = "ct",
     # only M emits; = X P neither emit nor advance here
     bases = aligned_bases(mapped(sam), [*keys, "rname"], emit="M", ref_ops="MDN", read_ops="MIS")
     sites = bases.groupBy(*keys, F.col("rname").alias("chrom"), F.col("ref_pos").alias("pos")).agg(F.count_if(F.col("base") == c.target).alias("meth_count"), F.count_if(F.col("base") == c.converted).alias("unmeth_count"), F.count(F.lit(1)).alias("coverage"))
-    target = genome.where(F.col("base") == c.target).select("chrom", "pos")
+    # a row a base: neither side may be taken for small from the size of the files it comes from
+    target = genome.where(F.col("base") == c.target).select("chrom", "pos").hint("merge")
     return sites.join(target, ["chrom", "pos"], "left_semi").select(*keys, "chrom", "pos", F.bround(F.col("meth_count") / F.col("coverage"), 4).alias("level"), "meth_count", "unmeth_count", "coverage")
 
 
