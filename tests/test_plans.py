@@ -1,7 +1,7 @@
 """Tables of a row a base are never broadcast, whatever Spark makes of their size."""
 
 from strandmill.operators import pileup
-from strandmill.plans import views
+from strandmill.plans import roundtrips, views
 
 
 def plan_of(df):
@@ -10,3 +10,11 @@ def plan_of(df):
 
 def test_calls_do_not_broadcast_the_genome(spark, data):
     assert "BroadcastHashJoin" not in plan_of(pileup.call_ref_anchored(views.sam(spark, data), views.genome(spark, data)))
+
+
+def test_scanned_calls_do_not_broadcast_the_genome(spark, data, monkeypatch):
+    seen = []
+    monkeypatch.setattr(roundtrips, "written", lambda lines, **o: seen.append(plan_of(lines)) or "/nowhere")
+    monkeypatch.setattr(roundtrips.textfiles, "read_bed", lambda *a: None)
+    roundtrips.bed7_scan(spark, data)
+    assert "BroadcastHashJoin" not in seen[0]
