@@ -54,16 +54,27 @@ def flank_for(read_length: int) -> int:
     return 0 if read_length < 80 else 1 if read_length < 150 else 2 if read_length < 500 else 3
 
 
+#: genome positions whose bases make one row
+RUN = 32
+
+
 def site_motifs(sites: DataFrame, genome: DataFrame, flank: int) -> DataFrame:
     """Adds ``motif``: the bases ``flank`` to either side.
 
-    Each site asks for its 2 * flank + 1 positions and meets the genome in an
-    equi-join; sites at a contig's edge get a shorter motif.
+    The genome is put together to runs of ``RUN`` positions, which know ``flank``
+    bases of their neighbours; each site meets its own run in an equi-join. Sites at a
+    contig's edge get a shorter motif, those without any base near have no row. Runs
+    are never broadcast: they grow with the genome, whatever the files it comes from.
     """
-    asked = sites.select("chrom", "pos", F.explode(F.sequence(F.lit(-flank), F.lit(flank))).alias("o")).withColumn("at", F.col("pos") + F.col("o"))
-    g = genome.select(F.col("chrom"), F.col("pos").alias("at"), "base")
-    motif = asked.join(g, ["chrom", "at"]).groupBy("chrom", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "base"))), lambda x: x["base"]), "").alias("motif"))
-    return sites.join(motif, ["chrom", "pos"])
+    run = lambda at: F.floor(at / RUN)
+    first, last = run(F.col("pos") - flank), run(F.col("pos") + flank)
+    # place and letter as one number, in order of the place
+    g = genome.select(F.col("chrom").alias("__chrom"), (F.col("pos").cast("bigint") * 256 + F.ascii("base")).alias("x"), F.explode(F.sequence(first, last)).alias("__run"))
+    runs = g.groupBy("__chrom", "__run").agg(F.sort_array(F.collect_list("x")).alias("__x")).hint("merge")
+    near = F.filter("__x", lambda x: F.shiftright(x, 8).between(F.col("pos") - flank, F.col("pos") + flank))
+    at = sites.join(runs, (F.col("chrom") == F.col("__chrom")) & (run(F.col("pos")) == F.col("__run")))
+    motif = F.array_join(F.transform(near, lambda x: F.char(x.bitwiseAND(F.lit(255)))), "")
+    return at.withColumn("motif", motif).drop("__chrom", "__run", "__x").where("motif <> ''")
 
 
 def context_posterior(sites: DataFrame, strength: float = 2.0) -> DataFrame:

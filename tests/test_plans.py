@@ -1,6 +1,6 @@
 """Tables of a row a base are never broadcast, whatever Spark makes of their size."""
 
-from strandmill.operators import pileup
+from strandmill.operators import correct, pileup
 from strandmill.plans import roundtrips, views
 
 
@@ -18,3 +18,7 @@ def test_scanned_calls_do_not_broadcast_the_genome(spark, data, monkeypatch):
     monkeypatch.setattr(roundtrips.textfiles, "read_bed", lambda *a: None)
     roundtrips.bed7_scan(spark, data)
     assert "BroadcastHashJoin" not in seen[0]
+
+
+def test_motifs_do_not_broadcast_the_genome(spark, data):
+    assert "BroadcastHashJoin" not in plan_of(correct.site_motifs(views.truth(spark, data), views.genome(spark, data), 1))
