@@ -22,3 +22,12 @@ def test_scanned_calls_do_not_broadcast_the_genome(spark, data, monkeypatch):
 
 def test_motifs_do_not_broadcast_the_genome(spark, data):
     assert "BroadcastHashJoin" not in plan_of(correct.site_motifs(views.truth(spark, data), views.genome(spark, data), 1))
+
+
+def test_motifs_across_runs_and_gaps(spark):
+    letters = {p: "ACGT"[p * 7 % 4] for p in range(200) if p not in (40, 41, 64)}
+    g = spark.createDataFrame([("c", p, b) for p, b in letters.items()], "chrom string, pos bigint, base string")
+    sites = g.select("chrom", "pos").union(spark.createDataFrame([("c", 1000), ("d", 5)], "chrom string, pos bigint"))
+    for flank in (0, 1, 3, 40):
+        want = {p: "".join(letters.get(q, "") for q in range(p - flank, p + flank + 1)) for p in letters}
+        assert {r.pos: r.motif for r in correct.site_motifs(sites, g, flank).collect()} == want
