@@ -1,11 +1,8 @@
-"""Seed-and-extend alignment of converted reads as joins.
+"""Seed-and-extend alignment of converted reads.
 
-Seeds are three-letter k-mers as base-3 codes; lookup is an equi-join with the
-places of each code kept as lists, a row a code and ``SPAN`` positions of the genome.
-The lists, not the single hits, are shuffled to their reads, where hits are voted and
-ranked read by read; a frequent code's lists are bounded and split by the join's skew
-handling. Only the best few candidates of a read fetch their stretch of the genome,
-by one key, for scoring. Votes and scores are numpy over Arrow batches of many reads.
+Seeds are three-letter k-mers as base-3 codes. Votes of the seeds for places are
+counted in ``places``, task by task, where the best few candidates of a read get their stretch of
+the genome too. Scores are numpy over Arrow batches of many reads.
 
 Hits of a seed grow with the genome: about its length over 3**k. With the seed
 lengths by read length (8 to 16) that suits small genomes; ``seed_length_for`` gives
@@ -16,11 +13,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.conversion import parse_conversion, three_letter_code
 from ..functions.sequence import kmer_code
+from . import places
 
 
 def seed_length(read_length: Column) -> Column:
@@ -59,100 +57,6 @@ def read_seeds(reads: DataFrame, k: int, step: int, conversion: str = "ct") -> D
     return at.select("read_idx", "seed_start", kmer_code(F.substring("digits", F.col("seed_start") + 1, F.lit(k))).alias("code"))
 
 
-#: genome positions whose places of a code make one list
-SPAN = 1 << 16
-
-
-def index_lists(index: DataFrame, span: int = SPAN) -> DataFrame:
-    """(code, chrom, spots): the places of each code, a row a code and ``span`` positions."""
-    return index.groupBy("code", "chrom", F.floor(F.col("pos") / span).alias("part")).agg(F.collect_list("pos").alias("spots")).drop("part")
-
-
-def seed_lists(seeds: DataFrame, index: DataFrame, span: int = SPAN) -> DataFrame:
-    """(read_idx, seed_start, chrom, spots): no seed is too frequent to count."""
-    return seeds.join(index_lists(index, span), "code").select("read_idx", "seed_start", "chrom", "spots")
-
-
-def seed_hits(lists: DataFrame) -> DataFrame:
-    """(read_idx, seed_start, chrom, offset), one row a hit."""
-    return lists.select("read_idx", "seed_start", "chrom", F.explode("spots").alias("pos")).select("read_idx", "seed_start", "chrom", (F.col("pos") - F.col("seed_start")).alias("offset"))
-
-
-def voted(reads: np.ndarray, starts: np.ndarray, chroms: np.ndarray, ends: np.ndarray, spots: np.ndarray, top: int, min_seeds: int) -> tuple[np.ndarray, ...]:
-    """(row, offset, seeds, rank) of the best offsets of each read.
-
-    Rows are sorted by read and seed start; ``chroms`` are numbers, ``ends`` borders in ``spots``.
-    """
-    row = np.repeat(np.arange(len(reads)), np.diff(ends))
-    new = np.concatenate([[True], reads[1:] != reads[:-1]])
-    pair = ((np.cumsum(new) - 1) * (int(chroms.max(initial=0)) + 1) + chroms)[row]
-    offset = spots - starts[row]
-    low = int(offset.min(initial=0))
-    wide = int(offset.max(initial=0)) - low + 1
-    key = pair * wide + (offset - low)
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(key) else order
-    seeds = np.diff(np.append(first, len(key)))
-    at, seeds = order[first[seeds >= min_seeds]], seeds[seeds >= min_seeds]
-    # the first row of a key has its least seed start
-    r, start = reads[row[at]], starts[row[at]]
-    best = np.lexsort((chroms[row[at]], offset[at], start, -seeds, r))
-    at, seeds, r = at[best], seeds[best], r[best]
-    begin = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else at
-    rank = np.arange(len(r)) - np.repeat(begin, np.diff(np.append(begin, len(r)))) + 1
-    keep = rank <= top
-    return row[at[keep]], offset[at[keep]], seeds[keep], rank[keep]
-
-
-def candidates_topk(lists: DataFrame, genome_length: int, read_length: int, top: int = 5, min_seeds: int = 2) -> DataFrame:
-    """(read_idx, chrom, start, seeds, cand_rank): most voted offsets, first seen first.
-
-    One shuffle of lists by read; a task holds the lists of a batch of reads.
-    """
-
-    def count(table: pa.Table) -> pa.RecordBatch:
-        spots = table.column("spots").combine_chunks()
-        ends = spots.offsets.to_numpy().astype(np.int64)
-        name = table.column("chrom").combine_chunks().dictionary_encode()
-        reads, starts = table.column("read_idx").to_numpy(), table.column("seed_start").to_numpy()
-        row, offset, seeds, rank = voted(reads, starts, name.indices.to_numpy(), ends - ends[0], spots.values.to_numpy()[ends[0] : ends[-1]], top, min_seeds)
-        return pa.RecordBatch.from_arrays([pa.array(reads[row]), name.take(pa.array(row)).cast(pa.string()), pa.array(offset), pa.array(seeds), pa.array(rank.astype(np.int32))], names=["read_idx", "chrom", "offset", "seeds", "cand_rank"])
-
-    def run(batches):
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            reads = table.column("read_idx").to_numpy()
-            cut = int(np.searchsorted(reads, reads[-1], "left"))  # the last read may go on
-            if cut:
-                yield count(table.slice(0, cut))
-            rest = table.slice(cut)
-        if rest is not None:
-            yield count(rest)
-
-    rows = lists.select(F.col("read_idx").cast("long"), F.col("seed_start").cast("long"), "chrom", F.col("spots").cast("array<bigint>")).where("chrom is not null")
-    best = rows.repartition("read_idx").sortWithinPartitions("read_idx", "seed_start").mapInArrow(run, "read_idx long, chrom string, offset long, seeds long, cand_rank int")
-    start = F.least(F.greatest("offset", F.lit(0)), F.lit(genome_length - read_length))
-    return best.select("read_idx", "chrom", start.alias("start"), "seeds", "cand_rank").where("start >= 0")
-
-
-def stretches(blocks: DataFrame, length: int, block: int = 32) -> DataFrame:
-    """(block_id, long): each block with as many to its right as hold ``length`` bases from any start in it."""
-    more = (length + block - 2) // block
-    put = blocks.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(more)), lambda k: F.struct((F.col("block_id") - k).alias("block_id"), k.alias("k"), F.col("seq").alias("seq")))).alias("p")).select("p.*").where("block_id >= 0")
-    return put.groupBy("block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "seq"))), lambda x: x["seq"]), "").alias("long"))
-
-
-def with_region(candidates: DataFrame, reads: DataFrame, blocks: DataFrame, length: int, block: int = 32) -> DataFrame:
-    """Adds seq and region, ``length`` bases from start (less at the genome's end)."""
-    at = candidates.join(reads.select("read_idx", "seq"), "read_idx").withColumn("block_id", F.floor(F.col("start") / block))
-    region = F.substring("long", (F.col("start") % block + 1).cast("int"), F.lit(length))
-    return at.join(stretches(blocks, length, block), "block_id").withColumn("region", region).drop("long", "block_id")
-
-
 def score_matrix(conversion: str) -> np.ndarray:
     """[ref, read] over A C G T: 1 equal, 0 for the pair of the conversion, else -1."""
     c = parse_conversion(conversion)
@@ -232,16 +136,16 @@ def conversion_mismatches(seq: Column, region: Column, conversion: str = "ct") -
 
 def best_hit(scored: DataFrame) -> DataFrame:
     """Highest score of each read; the better candidate on ties."""
-    w = Window.partitionBy("read_idx").orderBy(F.desc("score"), "cand_rank")
-    return scored.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    # candidates of a read lie in one task, so it sends one row
+    top = scored.groupBy("read_idx").agg(F.max_by(F.struct(*[c for c in scored.columns if c != "read_idx"]), F.struct("score", -F.col("cand_rank"))).alias("__t"))
+    return top.select(*["read_idx" if c == "read_idx" else F.col(f"__t.{c}").alias(c) for c in scored.columns])
 
 
 def align(reads: DataFrame, blocks: DataFrame, genome_length: int, read_length: int, k: int, conversion: str = "ct") -> DataFrame:
     """Best gapped hit of each read that has one."""
-    lists = seed_lists(read_seeds(reads, k, seed_step(read_length, k), conversion), ref_seed_index(blocks, k, conversion))
-    found = candidates_topk(lists, genome_length, read_length, max_candidates(read_length))
     band = max(50, 2 * read_length)
-    return best_hit(score_candidates(with_region(found, reads, blocks, read_length + band), conversion))
+    found = places.candidates(reads, blocks, genome_length, read_length, k, seed_step(read_length, k), max_candidates(read_length), conversion=conversion, region=read_length + band)
+    return best_hit(score_candidates(found, conversion))
 
 
 def to_sam(reads: DataFrame, hits: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

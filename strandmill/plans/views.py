@@ -91,9 +91,13 @@ def genome_reads(spark: SparkSession, d: str) -> DataFrame:
     """(read_idx, start0, seq): 50 bases of the genome for each event, every other one fully converted."""
     g = genome_length(spark, d)
     placed = read_table(spark, d, "events").select(F.col("event_id").alias("read_idx"), ((F.col("event_id") * 7919 + F.col("user_id") * 104729) % (g - 96)).alias("start0"))
-    parts = placed.select("read_idx", "start0", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).withColumn("block_id", F.floor(F.col("start0") / BLOCK) + F.col("k"))
-    cut = parts.join(blocks(spark, d), "block_id").groupBy("read_idx", "start0").agg(F.array_sort(F.collect_list(F.struct("k", "seq"))).alias("p"))
-    raw = F.substring(F.array_join(F.transform("p", lambda x: x["seq"]), ""), (F.col("start0") % BLOCK + 1).cast("int"), F.lit(50))
+    # runs of blocks with the next two; by the size of the part file Spark would broadcast them
+    some, x = 8, F.col("block_id")
+    runs = blocks(spark, d).select(F.explode(F.array_distinct(F.array(F.floor(x / some), F.floor((x - 2) / some)))).alias("run"), F.struct("block_id", "seq").alias("b")).groupBy("run").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    at = F.floor(F.col("start0") / BLOCK)
+    cut = placed.withColumn("run", F.floor(at / some)).join(runs.hint("shuffle_hash"), "run")
+    three = F.filter("b", lambda y: y["block_id"].between(at, at + 2))
+    raw = F.substring(F.array_join(F.transform(three, lambda y: y["seq"]), ""), (F.col("start0") % BLOCK + 1).cast("int"), F.lit(50))
     return cut.select("read_idx", "start0", F.when(F.col("read_idx") % 2 == 0, F.translate(raw, "C", "T")).otherwise(raw).alias("seq"))
 
 
