@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.conversion import parse_conversion
 from ..functions.sequence import cigar_ops
+from ..session import materialize
 
 # fixed values: IUPAC letters
 IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
@@ -121,15 +122,16 @@ def read_features(sam: DataFrame, conversion: str = "ct") -> DataFrame:
 def model_filter(sam: DataFrame, labelled: DataFrame, threshold: float = 0.5, conversion: str = "ct") -> DataFrame:
     """Reads with the chance of being wrong below ``threshold``.
 
-    ``labelled``: (line_no, label 0/1). Logistic regression fitted by Spark.
+    ``labelled``: (line_no, label 0/1). Logistic regression fitted by Spark. Features and
+    labels are written once, since the fit goes over them again and again. Runs jobs at once.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = read_features(sam, conversion)
+    rows = materialize(read_features(sam, conversion).join(labelled, "line_no", "left"), "features")
     stages = [VectorAssembler(inputCols=FEATURES, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(maxIter=20, regParam=0.01)]
-    model = Pipeline(stages=stages).fit(rows.join(labelled, "line_no"))
+    model = Pipeline(stages=stages).fit(rows.where("label is not null"))
     wrong = model.transform(rows).select("line_no", vector_to_array("probability")[1].alias("wrong"))
     return wrong.where(F.col("wrong") < threshold)

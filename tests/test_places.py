@@ -45,3 +45,15 @@ def test_votes(k, step, pairs):
             votes = places.merged(votes, v, 5)
         got = [(*total[:, j].tolist(), [tuple(x) for x in votes[votes[:, 0] == j, 1:].tolist()]) for j in range(len(reads))]
         assert got == want
+
+
+def test_model_filter_writes_its_rows_once(spark, monkeypatch):
+    from strandmill.operators import correct
+
+    tags, own = [], correct.materialize
+    monkeypatch.setattr(correct, "materialize", lambda df, tag: tags.append(tag) or own(df, tag))
+    rows = [(i, 50 if i % 2 else 10, "50M", 0, 0, "ACGT" * 12, "I" * 48) for i in range(40)]
+    sam = spark.createDataFrame(rows, "line_no long, mapq int, cigar string, tlen int, flag int, seq string, qual string")
+    labels = spark.createDataFrame([(i, float(i % 2 == 0)) for i in range(20)], "line_no long, label double")
+    assert sorted(r.line_no for r in correct.model_filter(sam, labels).collect()) == list(range(1, 40, 2))
+    assert tags == ["features"]
