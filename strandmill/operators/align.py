@@ -115,23 +115,34 @@ def score_candidates(regions: DataFrame, conversion: str = "ct", gap_open: int =
     return rows.mapInArrow(run, "read_idx long, chrom string, start long, cand_rank int, score int")
 
 
-def ungapped_score(seq: Column, region: Column, conversion: str = "ct") -> Column:
-    """Same matrix without gaps, inside the JVM."""
+def _side_by_side(batch: pa.RecordBatch, conversion: str) -> tuple[np.ndarray, np.ndarray]:
+    """(mismatches, ungapped score) of the columns seq and region."""
     c = parse_conversion(conversion)
-    pair = [f"{c.target}{c.converted}", f"{c.converted}{c.target}"]
-
-    def at(i: Column) -> Column:
-        a, b = F.substring(region, i, F.lit(1)), F.substring(seq, i, F.lit(1))
-        return F.when(a == b, 1).when(F.concat(a, b).isin(*pair), 0).otherwise(-1)
-
-    return F.aggregate(F.sequence(F.lit(1), F.least(F.length(seq), F.length(region))), F.lit(0), lambda s, i: s + at(i))
+    (x, xo), (y, yo) = (places.bytes_of(batch.column(n)) for n in ("seq", "region"))
+    xs, ys = np.diff(xo), np.diff(yo)
+    wide = np.arange(max(xs.max(initial=0), ys.max(initial=0)))
+    x_at, y_at = wide < xs[:, None], wide < ys[:, None]
+    a, b = np.zeros(x_at.shape, np.uint8), np.zeros(y_at.shape, np.uint8)
+    a[x_at], b[y_at] = x, y
+    equal, target, converted = a == b, ord(c.target), ord(c.converted)
+    differ = np.where(a == converted, np.uint8(target), a) != b
+    pair = ((a == target) & (b == converted)) | ((a == converted) & (b == target))
+    both = x_at & y_at
+    return (differ & x_at).sum(axis=1).astype(np.int32), ((equal & both).sum(axis=1) - (~(equal | pair) & both).sum(axis=1)).astype(np.int32)
+
+
+def compared(regions: DataFrame, name: str, conversion: str = "ct") -> DataFrame:
+    """Adds ``mismatches``, letters that differ after the read's converted base is written as the target,
+    or ``score``, that of the same matrix without gaps; drops seq and region."""
+    keep = [c for c in regions.columns if c not in ("seq", "region")]
+    kinds = dict(regions.dtypes)
 
+    def run(batches):
+        for batch in batches:
+            told = _side_by_side(batch, conversion)[name == "score"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(told)], names=[*keep, name])
 
-def conversion_mismatches(seq: Column, region: Column, conversion: str = "ct") -> Column:
-    """Letters that differ after the read's converted base is written as the target."""
-    c = parse_conversion(conversion)
-    back = F.translate(seq, c.converted, c.target)
-    return F.size(F.filter(F.sequence(F.lit(1), F.length(seq)), lambda i: F.substring(back, i, F.lit(1)) != F.substring(region, i, F.lit(1))))
+    return regions.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in keep), f"{name} int"]))
 
 
 def best_hit(scored: DataFrame) -> DataFrame:

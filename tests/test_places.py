@@ -57,3 +57,11 @@ def test_model_filter_writes_its_rows_once(spark, monkeypatch):
     labels = spark.createDataFrame([(i, float(i % 2 == 0)) for i in range(20)], "line_no long, label double")
     assert sorted(r.line_no for r in correct.model_filter(sam, labels).collect()) == list(range(1, 40, 2))
     assert tags == ["features"]
+
+
+def test_compared(spark):
+    from strandmill.operators import align
+
+    df = spark.createDataFrame([(1, "ACGTT", "ACGCA"), (2, "TTAC", "CTA"), (3, "CG", "TG")], "read_idx long, seq string, region string")
+    assert [tuple(r) for r in align.compared(df, "mismatches").orderBy("read_idx").collect()] == [(1, 1), (2, 2), (3, 1)]
+    assert [tuple(r) for r in align.compared(df, "score").orderBy("read_idx").collect()] == [(1, 2), (2, 2), (3, 1)]
