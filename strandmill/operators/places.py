@@ -25,7 +25,7 @@ from ..session import materialize
 
 BLOCK = 32
 #: bases of the genome and reads held at a time, and bytes of reads or regions
-SPAN, READS, BYTES = 1 << 23, 1 << 18, 3 << 24
+SPAN, READS, BYTES = 1 << 22, 1 << 18, 3 << 24
 #: bits of a hit: read, offset in the span, number of the seed
 O_BITS, I_BITS = 26, 18
 _U, _LOW = np.uint64, np.uint64(0xFFFFFFFF)
@@ -210,7 +210,11 @@ def span_votes(reads: np.ndarray, ok: np.ndarray, digits: np.ndarray, own: int,
             held[apart] = asked(reads, ok, k, apart)
         keys += _found(*held[apart], reads, genome, there, k, step, apart, bias)
     del genome
-    keys = np.concatenate([np.zeros(0, _U), *keys])
+    parts, keys = keys, np.empty(sum(map(len, keys)), _U)
+    at = 0
+    for i, part in enumerate(parts):
+        keys[at : at + len(part)] = part
+        at, parts[i] = at + len(part), None  # not twice in memory
     keys.sort()
     repeats, votes, at = np.zeros(len(reads), np.int64), [np.zeros((0, 4), np.int64)], 0
     while at < len(keys):
@@ -310,20 +314,27 @@ def _whole(files, low: int, high: int, seqs: pa.Array, k: int, step: int, conver
     return hits, offsets, found
 
 
-def _regions(files, low: int, high: int, starts: np.ndarray, length: int, held: dict) -> pa.Array:
-    """``length`` letters from each start, fewer where the genome has none."""
+def _regions(files, low: int, high: int, starts: np.ndarray, length: int, held: dict) -> np.ndarray:
+    """``length`` letters from each start, 0 where the genome has none."""
     out = np.zeros((len(starts), length), np.uint8)
-    start, end = low * BLOCK, (high + 1) * BLOCK
-    for at in range(start, end, 4 * SPAN):
-        pick = np.flatnonzero((starts >= at) & (starts < at + 4 * SPAN))
+    start, end, size = low * BLOCK, (high + 1) * BLOCK, 8 * SPAN
+    for at in range(start, end, size):
+        pick = np.flatnonzero((starts >= at) & (starts < at + size))
         if len(pick):
             if at not in held:
                 held.clear()
-                held[at] = np.append(letters(files, at, min(end, at + 4 * SPAN + length)), np.zeros(length, np.uint8))
-            out[pick] = np.lib.stride_tricks.sliding_window_view(held[at], length)[starts[pick] - at]
-    there = out != 0
+                held[at] = np.append(letters(files, at, min(end, at + size + length)), np.zeros(length, np.uint8))
+            view = np.lib.stride_tricks.sliding_window_view(held[at], length)
+            for some in np.array_split(pick, 1 + len(pick) * length // BYTES):
+                out[some] = view[starts[some] - at]
+    return out
+
+
+def _strings(rows: np.ndarray) -> pa.Array:
+    """A string a row, without zeros."""
+    there = rows != 0
     ends = np.append(0, np.cumsum(there.sum(axis=1))).astype(np.int32)
-    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(out[there])))
+    return pa.StringArray.from_buffers(len(rows), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows[there])))
 
 
 def _map(reads: DataFrame, k: int, keep: tuple[str, ...], run, schema: str) -> DataFrame:
@@ -357,12 +368,14 @@ def hit_counts(reads: DataFrame, blocks: DataFrame, k: int, step: int, conversio
 
 
 def candidates(
-    reads: DataFrame, blocks: DataFrame, genome_length: int, read_length: int, k: int, step: int, top: int = 5, *, min_seeds: int = 2, conversion: str = "ct", region: int = 0, keep: tuple[str, ...] = (), chrom: str = "chr_sim"
+    reads: DataFrame, blocks: DataFrame, genome_length: int, read_length: int, k: int, step: int, top: int = 5, *, min_seeds: int = 2, conversion: str = "ct", region: int = 0, keep: tuple[str, ...] = (), chrom: str = "chr_sim", finish: tuple | None = None
 ) -> DataFrame:
     """(read_idx, chrom, start, seeds, cand_rank): most voted offsets, first seen first.
 
     ``region`` adds seq and region, that many bases from start (less at the genome's end),
     and ``keep`` names further columns of the reads. A read_idx is on one row.
+    ``finish``, (function of a batch, schema), is applied to batches where they are made, so
+    that regions need not leave the task; a batch has all candidates of its reads.
     """
     files, low, high = stored(blocks)
     carry = ("seq", *keep) if region else keep
@@ -374,16 +387,26 @@ def candidates(
         start, rank = np.minimum(np.maximum(votes[:, 3], 0), genome_length - read_length), ranks(votes[:, 0]).astype(np.int32)
         use = start >= 0
         votes, start, rank = votes[use], start[use], rank[use]
-        some = max(1, min(1 << 16, BYTES // max(1, region)))
-        for at in range(0, len(votes), some):
-            part = slice(at, at + some)
+        # regions of many rows at once, since their starts lie all over the genome, and rows sent in parts
+        some, many = max(1, min(1 << 16, BYTES // max(1, region))), max(1, 2 * BYTES // max(1, region))
+        around, since, at = None, 0, 0
+        while at < len(votes):
+            to = min(len(votes), at + some)
+            if to < len(votes):  # whole reads
+                cut = int(np.searchsorted(votes[:, 0], votes[to, 0]))
+                to = cut if cut > at else int(np.searchsorted(votes[:, 0], votes[at, 0], "right"))
+            part = slice(at, to)
             row = pa.array(votes[part, 0])
             columns = [table.column(0).chunk(0).take(row), pa.array([chrom]).take(pa.array(np.zeros(len(row), np.int64))), pa.array(start[part]), pa.array(votes[part, 1]), pa.array(rank[part])]
             columns += [table.column(c).chunk(0).take(row) for c in carry]
             if region:
-                columns.append(_regions(files, low, high, start[part], region, held))
+                if around is None or to > since + len(around):
+                    around, since = _regions(files, low, high, start[at : max(to, at + many)], region, held), at
+                columns.append(_strings(around[at - since : to - since]))
             batch = pa.RecordBatch.from_arrays(columns, names=["read_idx", "chrom", "start", "seeds", "cand_rank", *carry, *(["region"] if region else [])])
-            yield batch.filter(pa.compute.not_equal(batch.column(batch.num_columns - 1), "")) if region else batch
+            batch = batch.filter(pa.compute.not_equal(batch.column(batch.num_columns - 1), "")) if region else batch
+            yield finish[0](batch) if finish else batch
+            at = to
 
     names = ", ".join(["read_idx long, chrom string, start long, seeds long, cand_rank int", *(f"{c} {kinds[c]}" for c in carry), *(["region string"] if region else [])])
-    return _map(reads, k, keep, run, names)
+    return _map(reads, k, keep, run, finish[1] if finish else names)

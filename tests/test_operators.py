@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,19 @@ def test_local_scores():
     assert align.local_scores([], []).tolist() == []
 
 
+def test_local_scores_in_any_integers():
+    # of all bytes and lengths: the kind of integers follows the reads
+    r = random.Random(8)
+    for size in (60, 99, 140):
+        ref = dna(r, size + 20)
+        pairs = [(ref[10 : 10 + n], ref) for n in (0, 1, 30, size)] + [(ref[10:40] + "A" + ref[40:size], ref), ("acgtn", "ACGTA"), ("ACG", "")]
+        for conversion in ("ct", "ag", "gt"):
+            m = align.score_matrix(conversion)
+            want = [score_plain(a.upper().replace("N", "A"), b, m) for a, b in pairs]
+            assert align.local_scores(*zip(*pairs), conversion).tolist() == want
+            assert align.local_scores(*(pa.array(x) for x in zip(*pairs)), conversion).tolist() == want
+
+
 def test_aligner_finds_true_place(spark):
     made = simulate.simulate_reads(spark, 4000, 60, 60, conversion_rate=0.0, error_rate=0.01, mode="se")
     g = made["genome"]

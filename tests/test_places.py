@@ -65,3 +65,51 @@ def test_compared(spark):
     df = spark.createDataFrame([(1, "ACGTT", "ACGCA"), (2, "TTAC", "CTA"), (3, "CG", "TG")], "read_idx long, seq string, region string")
     assert [tuple(r) for r in align.compared(df, "mismatches").orderBy("read_idx").collect()] == [(1, 1), (2, 2), (3, 1)]
     assert [tuple(r) for r in align.compared(df, "score").orderBy("read_idx").collect()] == [(1, 2), (2, 2), (3, 1)]
+
+
+def arrow_steps(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+
+
+def test_gapped_scores_stay_in_the_task(spark, data):
+    # regions of candidates are scored where they are found; one row a read leaves the task
+    from strandmill.plans import queries
+
+    assert arrow_steps(queries.align_reads(spark, data)) == 1
+
+
+def test_parts_of_candidates(spark, monkeypatch):
+    """Spans, groups of regions and batches decide how candidates come, not which."""
+    from strandmill.operators import align
+
+    rng = np.random.default_rng(3)
+    genome = "".join(rng.choice(list("ACGT"), 640)) + "".join(rng.choice(list("ACGT"), 10))
+    genome = genome[:320] * 2 + genome[640:]
+    blocks = spark.createDataFrame([(i, genome[32 * i : 32 * i + 32]) for i in range(21)], "block_id long, seq string")
+    reads = spark.createDataFrame([(i, genome[a : a + 50].replace("C", "T")) for i, a in enumerate(rng.integers(0, 590, 40).tolist())], "read_idx long, seq string")
+    every = lambda: sorted(map(tuple, places.candidates(reads, blocks, len(genome), 50, 6, 5, region=90).collect()))
+    scored = lambda: sorted(map(tuple, align.align(reads, blocks, len(genome), 50, 6).collect()))
+    found, best = every(), scored()
+    assert {r[6] for r in found} <= {genome[r[2] : r[2] + 90] for r in found} and len(best) == 40
+    # the candidates' own scores, the better candidate on ties
+    told = dict(zip([(r[0], r[4]) for r in found], align.local_scores([r[5] for r in found], [genome[r[2] : r[2] + 150] for r in found]).tolist()))
+    assert [(r[0], r[3], r[4]) for r in best] == [max(((i, c, s) for (i, c), s in told.items() if i == j), key=lambda x: (x[2], -x[1])) for j in range(40)]
+    for size in (1, 90 * 7, 90 * 40):
+        # functions of tasks are sent with this module's own numbers
+        run = places._map
+        monkeypatch.setattr(places, "_map", lambda r, k, keep, f, schema, n=size: run(r, k, keep, small(f, n), schema))
+        assert every() == found and scored() == best
+        monkeypatch.setattr(places, "_map", run)
+
+
+def small(f, size):
+    def g(table):
+        from strandmill.operators import places as there
+
+        there.BYTES, there.SPAN, own = size, 64, (there.BYTES, there.SPAN)
+        try:
+            yield from f(table)
+        finally:
+            there.BYTES, there.SPAN = own
+
+    return g
