@@ -78,6 +78,13 @@ def test_gapped_scores_stay_in_the_task(spark, data):
     assert arrow_steps(queries.align_reads(spark, data)) == 1
 
 
+def test_mismatches_are_counted_where_candidates_are_found(spark, data):
+    from strandmill.plans import queries
+
+    df = queries.conv_mismatches(spark, data)
+    assert arrow_steps(df) == 1 and df.columns == ["read_idx", "cand_rank", "mismatches"]
+
+
 def test_parts_of_candidates(spark, monkeypatch):
     """Spans, groups of regions and batches decide how candidates come, not which."""
     from strandmill.operators import align
