@@ -78,6 +78,13 @@ def test_gapped_scores_stay_in_the_task(spark, data):
     assert arrow_steps(queries.align_reads(spark, data)) == 1
 
 
+def test_hits_are_counted_without_a_shuffle(spark, data):
+    from strandmill.plans import queries
+
+    plan = queries.seed_hits(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan.partition("MapInArrow")[0]
+
+
 def test_mismatches_are_counted_where_candidates_are_found(spark, data):
     from strandmill.plans import queries
 
