@@ -72,6 +72,28 @@ def placed_ops(ops: Column, ref_ops: str = REF_OPS, read_ops: str = READ_OPS, em
     return F.aggregate(ops, start, add, lambda a: a["out"])
 
 
+def _operations(sam: DataFrame, keep: list[str], emit: str, ref_ops: str, read_ops: str, qual: bool) -> DataFrame:
+    """(keep..., __pos, __seq[, __qual], __o): a row an operation that emits bases of the read."""
+    shown = F.filter(placed_ops(cigar_ops(F.col("cigar")), ref_ops, read_ops, emit), lambda o: (F.instr(F.lit(emit), o["op"]) > 0) & (F.least(o["len"], F.length("seq") - o["read"]) > 0))
+    return sam.select(*keep, (F.col("pos") - 1).alias("__pos"), F.col("seq").alias("__seq"), *([F.col("qual").alias("__qual")] if qual else []), F.explode(shown).alias("__o"))
+
+
+def aligned_pieces(sam: DataFrame, keep: list[str], run: int, emit: str = EMIT_OPS, ref_ops: str = REF_OPS, read_ops: str = READ_OPS) -> DataFrame:
+    """(keep..., run, off, letters): the bases of ``aligned_bases``, a row for each operation and ``run`` reference
+    positions that it meets; ``letters`` begin ``off`` positions into the run."""
+    o, x = F.col("__o"), F.col("__at")
+    letters = F.substring("__seq", (o["read"] + 1).cast("int"), o["len"].cast("int"))
+    rows = _operations(sam, keep, emit, ref_ops, read_ops, False).select(*keep, (F.col("__pos") + o["ref"]).alias("__at"), letters.alias("__letters"))
+    end = x + F.length("__letters")
+
+    def piece(r):
+        start = F.greatest(x, r * run)
+        return F.struct(r.alias("run"), (start - r * run).cast("int").alias("off"), F.substring(F.col("__letters"), (start - x + 1).cast("int"), (F.least(end, (r + 1) * run) - start).cast("int")).alias("letters"))
+
+    # no piece carries its operation's letters
+    return rows.select(*keep, F.explode(F.transform(F.sequence(F.floor(x / run), F.floor((end - 1) / run)), piece)).alias("__p")).select(*keep, "__p.*")
+
+
 def aligned_bases(sam: DataFrame, keep: list[str], emit: str = EMIT_OPS, ref_ops: str = REF_OPS, read_ops: str = READ_OPS, qual: str | None = None) -> DataFrame:
     """(keep..., aligned_idx, ref_pos, base[, q]): 0-based reference position of every emitted base.
 
@@ -82,8 +104,7 @@ def aligned_bases(sam: DataFrame, keep: list[str], emit: str = EMIT_OPS, ref_ops
     A row is cut into one piece an operation, and pieces into bases, so that no
     base's row carries the read.
     """
-    shown = F.filter(placed_ops(cigar_ops(F.col("cigar")), ref_ops, read_ops, emit), lambda o: (F.instr(F.lit(emit), o["op"]) > 0) & (F.least(o["len"], F.length("seq") - o["read"]) > 0))
-    each = sam.select(*keep, (F.col("pos") - 1).alias("__pos"), F.col("seq").alias("__seq"), *([F.col("qual").alias("__qual")] if qual else []), F.explode(shown).alias("__o"))
+    each = _operations(sam, keep, emit, ref_ops, read_ops, bool(qual))
     part = lambda c, at: F.split(F.substring(c, (F.col(f"__o.{at}") + 1).cast("int"), F.col("__o.len").cast("int")), "")
     letters = part("__seq", "read")
     if qual:

@@ -1,7 +1,7 @@
 """Per-site counts under three calling conventions.
 
-Bases are counted per site before any join to the reference, so the join sees
-one row a site. ``kept`` are target bases, ``converted`` converted ones; the
+Bases are counted per site. Where the reference is asked, reads meet it as pieces and
+not base by base. ``kept`` are target bases, ``converted`` converted ones; the
 conventions differ in which of them is called methylated.
 """
 
@@ -11,22 +11,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.conversion import parse_conversion
-from ..functions.sequence import aligned_bases, flag_set
+from ..functions.sequence import aligned_bases, aligned_pieces, flag_set
 
 
 def mapped(sam: DataFrame) -> DataFrame:
     return sam.where(~flag_set(F.col("flag"), 4))
 
 
+#: reference positions that make one row of the join: as many as a long has bits
+RUN = 64
+
+
 def call_ref_anchored(sam: DataFrame, genome: DataFrame, conversion: str = "ct", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Sites whose reference is the target: kept = methylated, depth of any base; apart for each of ``keys``."""
+    """Sites whose reference is the target: kept = methylated, depth of any base; apart for each of ``keys``.
+
+    Pieces of reads meet runs of the genome, which know their target positions as bits, and only
+    bases at those become rows. Tasks then have all pieces of a run, or a part of them where
+    it is deep, and count before they send a row a site.
+    """
     c = parse_conversion(conversion)
     # only M emits; = X P neither emit nor advance here
-    bases = aligned_bases(mapped(sam), [*keys, "rname"], emit="M", ref_ops="MDN", read_ops="MIS")
-    sites = bases.groupBy(*keys, F.col("rname").alias("chrom"), F.col("ref_pos").alias("pos")).agg(F.count_if(F.col("base") == c.target).alias("meth_count"), F.count_if(F.col("base") == c.converted).alias("unmeth_count"), F.count(F.lit(1)).alias("coverage"))
-    # a row a base: neither side may be taken for small from the size of the files it comes from
-    target = genome.where(F.col("base") == c.target).select("chrom", "pos").hint("merge")
-    return sites.join(target, ["chrom", "pos"], "left_semi").select(*keys, "chrom", "pos", F.bround(F.col("meth_count") / F.col("coverage"), 4).alias("level"), "meth_count", "unmeth_count", "coverage")
+    pieces = aligned_pieces(mapped(sam), [*keys, "rname"], RUN, emit="M", ref_ops="MDN", read_ops="MIS")
+    own = genome.where(F.col("base") == c.target).select("chrom", F.floor(F.col("pos") / RUN).alias("run"), F.pmod("pos", F.lit(RUN)).cast("int").alias("at"))
+    # runs grow with the genome: not to be taken for small from the size of the files it comes from
+    runs = own.groupBy("chrom", "run").agg(F.expr("bit_or(shiftleft(1L, at))").alias("targets")).hint("merge")
+    met = pieces.withColumnRenamed("rname", "chrom").join(runs, ["chrom", "run"])
+    at = F.expr("filter(sequence(0, length(letters) - 1), i -> (shiftrightunsigned(targets, off + i) & 1L) = 1L)")
+    told = met.select(*keys, "chrom", "run", "off", "letters", F.explode(at).alias("i"))
+    bases = told.select(*keys, "chrom", (F.col("run") * RUN + F.col("off") + F.col("i")).alias("pos"), F.substring(F.col("letters"), F.col("i") + 1, F.lit(1)).alias("base"))
+    sites = bases.groupBy(*keys, "chrom", "pos").agg(F.count_if(F.col("base") == c.target).alias("meth_count"), F.count_if(F.col("base") == c.converted).alias("unmeth_count"), F.count(F.lit(1)).alias("coverage"))
+    return sites.select(*keys, "chrom", "pos", F.bround(F.col("meth_count") / F.col("coverage"), 4).alias("level"), "meth_count", "unmeth_count", "coverage")
 
 
 def _stranded(sam: DataFrame, conversion: str, min_qual: int, keep: list[str], by_read_offset: bool = False) -> DataFrame:
