@@ -92,6 +92,16 @@ def codes(digits: np.ndarray, k: int) -> np.ndarray:
         width *= 2
 
 
+def _coded(digits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """(code at each place of the genome, are its letters there; None: all are)."""
+    if len(digits) < k:
+        return np.zeros(0, np.uint32), None
+    if not (digits == 255).any():
+        return codes(digits, k), None
+    bad = np.concatenate([[0], np.cumsum(digits == 255)])
+    return codes(np.where(digits == 255, 0, digits).astype(np.uint8), k), bad[k:] == bad[:-k]
+
+
 def _key(a: np.ndarray, b: np.ndarray | None, k: int) -> np.ndarray:
     """32 bits for a code or a pair of codes; equal for equal ones."""
     if 3 ** (k if b is None else 2 * k) <= 1 << 32:
@@ -186,9 +196,7 @@ def span_votes(reads: np.ndarray, ok: np.ndarray, digits: np.ndarray, own: int,
     hits = np.zeros(len(reads), np.int64)
     if len(digits) < k:
         return hits, hits.copy(), np.zeros((0, 4), np.int64)
-    bad = np.concatenate([[0], np.cumsum(digits == 255)]) if (digits == 255).any() else None
-    there = None if bad is None else bad[k:] == bad[:-k]
-    genome = codes(digits if bad is None else np.where(digits == 255, 0, digits).astype(np.uint8), k)
+    genome, there = _coded(digits, k)
     mine = genome[:own] if there is None else genome[:own][there[:own]]
     if 3**k <= 1 << 24:
         table = np.bincount(mine, minlength=3**k)
@@ -288,8 +296,8 @@ def ranks(rows: np.ndarray) -> np.ndarray:
     return np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows)))) + 1
 
 
-def _whole(files, low: int, high: int, seqs: pa.Array, k: int, step: int, conversion: str, top: int, min_seeds: int):
-    """(hits, offsets, votes with offsets in the genome) of some reads."""
+def _seeds(seqs: pa.Array, k: int, step: int, conversion: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """(codes of the seeds of each read, are they in it, most letters of a read)."""
     data, offsets = bytes_of(seqs)
     size = np.diff(offsets)
     wide = max(k, int(size.max(initial=0)))
@@ -298,15 +306,23 @@ def _whole(files, low: int, high: int, seqs: pa.Array, k: int, step: int, conver
     table = digit_table(conversion)
     ok = np.arange(n) * step + k <= size[:, None]
     lut = np.where(table == 255, 0, table).astype(np.uint8)
-    own = np.concatenate([np.zeros((0, n), np.uint32), *(codes(lut[rows[a : a + (1 << 15)]], k)[:, ::step] for a in range(0, len(rows), 1 << 15))])
-    del rows
-    hits = np.zeros(len(size), np.int64)
-    offsets, found = hits.copy(), np.zeros((0, 4), np.int64)
-    start, end, held = low * BLOCK, (high + 1) * BLOCK, {}
-    for at in range(start, end, SPAN):
+    return np.concatenate([np.zeros((0, n), np.uint32), *(codes(lut[rows[a : a + (1 << 15)]], k)[:, ::step] for a in range(0, len(rows), 1 << 15))]), ok, wide
+
+
+def _spans(files, low: int, high: int, wide: int, conversion: str):
+    """(first position, bases, digits of them and of ``wide`` more) of each span of the genome."""
+    table, end = digit_table(conversion), (high + 1) * BLOCK
+    for at in range(low * BLOCK, end, SPAN):
         to = min(end, at + SPAN)
-        digits = table[letters(files, at, min(end, to + wide))]
-        h, r, votes = span_votes(own, ok, digits, to - at, k, step, top, min_seeds, at == start, to == end, None, held)
+        yield at, to - at, table[letters(files, at, min(end, to + wide))]
+
+
+def _whole(files, low: int, high: int, own: np.ndarray, ok: np.ndarray, wide: int, k: int, step: int, conversion: str, top: int, min_seeds: int):
+    """(hits, offsets, votes with offsets in the genome) of some reads' ``_seeds``."""
+    hits = np.zeros(len(own), np.int64)
+    offsets, found, held = hits.copy(), np.zeros((0, 4), np.int64), {}
+    for at, size, digits in _spans(files, low, high, wide, conversion):
+        h, r, votes = span_votes(own, ok, digits, size, k, step, top, min_seeds, at == low * BLOCK, at + size == (high + 1) * BLOCK, None, held)
         hits += h
         offsets += h - r
         votes[:, 3] += at
@@ -314,6 +330,58 @@ def _whole(files, low: int, high: int, seqs: pa.Array, k: int, step: int, conver
     return hits, offsets, found
 
 
+def _counted(files, low: int, high: int, seqs: pa.Array, k: int, step: int, conversion: str, chains: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hits, offsets) of some reads. ``chains`` forces how offsets are counted.
+
+    An offset with m equal seeds has m - 1 pairs of equal seeds without an equal one between
+    them, so hits less such pairs are the offsets. Neighbours that overlap are one word of
+    ``k + step`` letters, and words are counted; seeds further apart that still touch have
+    equal ones between them; the other pairs are few and looked up.
+    """
+    own, ok, wide = _seeds(seqs, k, step, conversion)
+    n, words = own.shape[1], step <= k and 3 ** (k + step) <= 1 << 24
+
+    def plain():
+        parts = [_whole(files, low, high, own[a : a + READS], ok[a : a + READS], wide, k, step, conversion, 1, 2)[:2] for a in range(0, max(1, len(own)), READS)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    if 3**k > 1 << 24 or n >= 512 or chains is False:
+        return plain()
+    word = lambda a, b: a * np.uint32(3**step) + b % np.uint32(3**step)
+    single, double = np.zeros(3**k, np.int64), np.zeros(3 ** (k + step) if words else 0, np.int32)
+    for _, size, digits in _spans(files, low, high, k + step, conversion):
+        genome, there = _coded(digits, k)
+        single += np.bincount(genome[:size] if there is None else genome[:size][there[:size]], minlength=len(single))
+        if words and len(genome) > step:
+            more = word(genome[:-step], genome[step:])[:size]
+            more = more if there is None else more[(there[:-step] & there[step:])[:size]]
+            double += np.bincount(more, minlength=len(double)).astype(np.int32)
+    hits = np.where(ok, single[own], 0).sum(axis=1)
+    if chains is None and hits.sum() <= 2 * len(own) * n * (n - 1):
+        return plain()
+    offsets, held, bias = hits.copy(), {}, (n - 1) * step
+    for i in range(n - 1 if words else 0):
+        offsets -= np.where(ok[:, i + 1], double[word(own[:, i], own[:, i + 1])], 0)
+    del double
+    for _, size, digits in _spans(files, low, high, wide, conversion):
+        genome, there = _coded(digits, k)
+        for apart in range(1, n):
+            if apart * step <= k and (words or apart > 1):
+                continue
+            if apart not in held:
+                held[apart] = asked(own, ok, k, apart)
+            for q in _found(*held[apart], own, genome[: size + apart * step], there, k, step, apart, bias):
+                read, seed = (q >> _READ_SHIFT).astype(np.int64), (q & _I_MASK).astype(np.int64)
+                pos = ((q >> _U(I_BITS)) & _U((1 << O_BITS) - 1)).astype(np.int64) - bias + seed * step
+                for b in range(1, apart):
+                    same = genome[pos + b * step] == own[read, seed + b]
+                    if there is not None:
+                        same &= there[pos + b * step]
+                    read, seed, pos = read[~same], seed[~same], pos[~same]
+                offsets -= np.bincount(read, minlength=len(own))
+    return hits, offsets
+
+
 def _regions(files, low: int, high: int, starts: np.ndarray, length: int, held: dict) -> np.ndarray:
     """``length`` letters from each start, 0 where the genome has none."""
     out = np.zeros((len(starts), length), np.uint8)
@@ -337,14 +405,14 @@ def _strings(rows: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(rows), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows[there])))
 
 
-def _map(reads: DataFrame, k: int, keep: tuple[str, ...], run, schema: str) -> DataFrame:
+def _map(reads: DataFrame, k: int, keep: tuple[str, ...], run, schema: str, most: int = READS, most_bytes: int = BYTES) -> DataFrame:
     """``run`` over tables of (read_idx, seq, keep...), as many reads at a time as are held."""
 
     def chunks(batches):
         held, rows, size = [], 0, 0
         for batch in batches:
             held, rows, size = [*held, batch], rows + batch.num_rows, size + batch.nbytes
-            if rows + batch.num_rows > READS or size > BYTES:
+            if rows + batch.num_rows > most or size > most_bytes:
                 yield from run(pa.Table.from_batches(held).combine_chunks())
                 held, rows, size = [], 0, 0
         if rows:
@@ -360,11 +428,12 @@ def hit_counts(reads: DataFrame, blocks: DataFrame, k: int, step: int, conversio
     files, low, high = stored(blocks)
 
     def run(table):
-        hits, offsets, _ = _whole(files, low, high, table.column(1).chunk(0), k, step, conversion, 1, 2)
+        hits, offsets = _counted(files, low, high, table.column(1).chunk(0), k, step, conversion)
         use = np.flatnonzero(hits)
         yield pa.RecordBatch.from_arrays([table.column(0).chunk(0).take(pa.array(use)), pa.array(hits[use]), pa.array(offsets[use])], names=["read_idx", "hits", "offsets"])
 
-    return _map(reads, k, (), run, "read_idx long, hits long, offsets long")
+    # counts take less memory than votes, so a task goes over the genome for four times as many reads
+    return _map(reads, k, (), run, "read_idx long, hits long, offsets long", 4 * READS, 2 * BYTES)
 
 
 def candidates(
@@ -383,7 +452,7 @@ def candidates(
 
     def run(table):
         held = {}
-        votes = _whole(files, low, high, table.column(1).chunk(0), k, step, conversion, top, min_seeds)[2]
+        votes = _whole(files, low, high, *_seeds(table.column(1).chunk(0), k, step, conversion), k, step, conversion, top, min_seeds)[2]
         start, rank = np.minimum(np.maximum(votes[:, 3], 0), genome_length - read_length), ranks(votes[:, 0]).astype(np.int32)
         use = start >= 0
         votes, start, rank = votes[use], start[use], rank[use]

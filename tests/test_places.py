@@ -1,6 +1,7 @@
 """Places by pairs of seeds, by single seeds and by hand."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from collections import Counter
 
@@ -47,6 +48,26 @@ def test_votes(k, step, pairs):
         assert got == want
 
 
+@pytest.mark.parametrize("k,step", [(3, 1), (4, 2), (3, 4), (6, 5), (8, 8)])
+def test_offsets_by_pairs_without_an_equal_seed_between(monkeypatch, k, step):
+    rng = np.random.default_rng(k * 10 + step)
+    genome = rng.choice(list(b"ACGT"), 320).astype(np.uint8)
+    genome[160:] = genome[:160]
+    genome[[200, 215, 230]] = ord("A")
+    genome[64:96] = 0  # a block that is missing
+    genome[310:] = 0
+    reads = [np.where(genome[a : a + 40] == 0, ord("C"), genome[a : a + 40]) for a in rng.integers(0, 280, 20)] + [genome[296:310], genome[:k]]
+    monkeypatch.setattr(places, "letters", lambda files, start, end: genome[start:end])
+    digits = places.digit_table("ct")
+    want = [x[:2] for x in by_hand([digits[r] for r in reads], np.where(genome == 0, 255, digits[genome]), k, step, 1)]
+    seqs = pa.array([r.tobytes().decode() for r in reads])
+    for span in (1 << 22, 64):
+        monkeypatch.setattr(places, "SPAN", span)
+        for chains in (True, False):
+            hits, offsets = places._counted([], 0, 9, seqs, k, step, "ct", chains)
+            assert list(zip(hits.tolist(), offsets.tolist())) == want
+
+
 def test_model_filter_writes_its_rows_once(spark, monkeypatch):
     from strandmill.operators import correct
 
