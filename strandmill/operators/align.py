@@ -142,16 +142,18 @@ def gapped(conversion: str = "ct", gap_open: int = -4, gap_extend: int = -1, blo
 def ungapped(name: str, conversion: str = "ct"):
     """Function of a batch: its ``mismatches``, letters that differ after the read's converted base is
     written as the target, or ``score``, that of the same matrix without gaps."""
-    return lambda batch: _side_by_side(batch, conversion)[name == "score"]
+    return lambda batch: _side_by_side(batch, conversion, name)
 
 
-def told(values, name: str, best: bool = False) -> tuple:
+def told(values, name: str, best: bool = False, scored: str = SCORED) -> tuple:
     """(function of a batch, schema) for ``places.candidates``: ``values`` of a batch as ``name`` in place of seq
-    and region; ``best`` keeps one row a read, that of the highest value, the better candidate on ties."""
+    and region; ``best`` keeps one row a read, that of the highest value, the better candidate on ties.
+    ``scored`` are the columns that leave the task."""
+    sent = [c.split()[0] for c in scored.split(",")]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         value = values(batch)
-        keep = [c for c in batch.schema.names if c not in ("seq", "region")]
+        keep = [c for c in batch.schema.names if c in sent]
         batch = pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(value)], names=[*keep, name])
         if best:
             read = batch.column("read_idx").to_numpy()
@@ -159,30 +161,36 @@ def told(values, name: str, best: bool = False) -> tuple:
             batch = batch.take(pa.array(order[places.first_of(read[order], 1)]))
         return batch
 
-    return run, f"{SCORED}, {name} int"
+    return run, f"{scored}, {name} int"
 
 
-def _side_by_side(batch: pa.RecordBatch, conversion: str) -> tuple[np.ndarray, np.ndarray]:
-    """(mismatches, ungapped score) of the columns seq and region."""
+def _side_by_side(batch: pa.RecordBatch, conversion: str, name: str) -> np.ndarray:
+    """Mismatches or ungapped score of the columns seq and region."""
     c = parse_conversion(conversion)
     (x, xo), (y, yo) = (places.bytes_of(batch.column(n)) for n in ("seq", "region"))
     xs, ys = np.diff(xo), np.diff(yo)
-    wide = np.arange(max(xs.max(initial=0), ys.max(initial=0)))
-    x_at, y_at = wide < xs[:, None], wide < ys[:, None]
-    a, b = np.zeros(x_at.shape, np.uint8), np.zeros(y_at.shape, np.uint8)
-    a[x_at], b[y_at] = x, y
-    equal, target, converted = a == b, ord(c.target), ord(c.converted)
-    differ = np.where(a == converted, np.uint8(target), a) != b
-    pair = ((a == target) & (b == converted)) | ((a == converted) & (b == target))
-    both = x_at & y_at
-    return (differ & x_at).sum(axis=1).astype(np.int32), ((equal & both).sum(axis=1) - (~(equal | pair) & both).sum(axis=1)).astype(np.int32)
+    most = max(xs.max(initial=0), ys.max(initial=0))
+    if len(xs) and (xs == most).all() and (ys == most).all():
+        a, b, x_at, both = x.reshape(-1, most), y.reshape(-1, most), True, True
+    else:
+        wide = np.arange(most)
+        x_at, y_at = wide < xs[:, None], wide < ys[:, None]
+        a, b = np.zeros(x_at.shape, np.uint8), np.zeros(y_at.shape, np.uint8)
+        a[x_at], b[y_at] = x, y
+        both = x_at & y_at
+    target, converted = ord(c.target), ord(c.converted)
+    if name == "mismatches":
+        differ = np.where(a == converted, np.uint8(target), a) != b
+        return np.count_nonzero(differ & x_at, axis=1).astype(np.int32)
+    equal, pair = a == b, ((a == target) & (b == converted)) | ((a == converted) & (b == target))
+    return (np.count_nonzero(equal & both, axis=1) - np.count_nonzero(~(equal | pair) & both, axis=1)).astype(np.int32)
 
 
 def compared(regions: DataFrame, name: str, conversion: str = "ct") -> DataFrame:
     """Adds ``ungapped`` values; drops seq and region."""
     keep = [c for c in regions.columns if c not in ("seq", "region")]
     kinds = dict(regions.dtypes)
-    run = told(ungapped(name, conversion), name)[0]
+    run = told(ungapped(name, conversion), name, scored=", ".join(keep))[0]
     return regions.mapInArrow(lambda batches: map(run, batches), ", ".join([*(f"{c} {kinds[c]}" for c in keep), f"{name} int"]))
 
 

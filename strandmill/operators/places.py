@@ -121,12 +121,17 @@ def _sieve(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h >> np.uint32(3), np.uint8(128) >> (h & np.uint32(7)).astype(np.uint8)
 
 
-def asked(reads: np.ndarray, ok: np.ndarray, k: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted numbers of key, read and seed, table of the keys) of seeds (``apart`` 0) or of pairs with ``apart`` - 1 seeds between."""
+def asked(reads: np.ndarray, ok: np.ndarray, k: int, apart: int, rows: np.ndarray | None = None, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted numbers of key, read and seed, table of the keys) of seeds (``apart`` 0) or of pairs with ``apart`` - 1 seeds between.
+
+    ``rows`` are the reads' numbers; ``before`` leaves out first seeds from that of each read on.
+    """
     n, bits = reads.shape[1] - apart, max(1, (reads.shape[1] - 1).bit_length())
     key = _key(reads[:, :n].ravel(), reads[:, apart:].ravel() if apart else None, k)
-    of = (np.arange(len(reads), dtype=_U)[:, None] << _U(bits) | np.arange(n, dtype=_U)).ravel()
-    use = (ok[:, :n] & ok[:, apart:]).ravel()
+    rows = np.arange(len(reads), dtype=_U) if rows is None else rows.astype(_U)
+    of = (rows[:, None] << _U(bits) | np.arange(n, dtype=_U)).ravel()
+    use = ok[:, :n] & ok[:, apart:]
+    use = (use if before is None else use & (np.arange(n) < before[:, None])).ravel()
     key, of = (key, of) if use.all() else (key[use], of[use])
     table = np.zeros(1 << 26, bool)
     table[(key * np.uint32(0x9E3779B1)) >> np.uint32(6)] = True
@@ -249,6 +254,60 @@ def span_votes(reads: np.ndarray, ok: np.ndarray, digits: np.ndarray, own: int,
     return hits, repeats, np.concatenate(votes)
 
 
+def span_few(reads: np.ndarray, ok: np.ndarray, genome: np.ndarray, there: np.ndarray | None, own: int, k: int, step: int, top: int, head: bool, tail: bool, limit: np.ndarray, held: dict) -> np.ndarray:
+    """Votes as of ``span_votes`` without most of those that can't be among the best of their reads.
+
+    Neighbours that overlap have by far the most places. They are looked up only for first seeds
+    before each read's ``limit``; a place that has more than them is found, with all its seeds, by
+    the other pairs. For that seeds two apart must touch, so that the one between is equal too.
+    """
+    n, bias = reads.shape[1], (reads.shape[1] - 1) * step
+    keys, rows = [], np.flatnonzero(limit)
+    for apart in range(1, n):
+        if apart > 1 and apart not in held:
+            held[apart] = asked(reads, ok, k, apart)
+        ask = held[apart] if apart > 1 else asked(reads[rows], ok[rows], k, 1, rows, limit[rows])
+        # equal seeds as bits, with those between where the two touch
+        bits = _U((2 << apart) - 1 if apart * step <= k else 1 << apart | 1)
+        for q in _found(*ask, reads, genome, there, k, step, apart, bias):
+            seed = q & _I_MASK
+            q ^= seed
+            q |= bits << seed
+            keys.append(q)
+    parts, keys = keys, np.empty(sum(map(len, keys)), _U)
+    at = 0
+    for i, part in enumerate(parts):
+        keys[at : at + len(part)] = part
+        at, parts[i] = at + len(part), None  # not twice in memory
+    keys.sort()
+    votes, at = [np.zeros((0, 4), np.int64)], 0
+    while at < len(keys):
+        last = keys[min(at + (1 << 21), len(keys) - 1)] >> _READ_SHIFT
+        to = int(np.searchsorted(keys, (last + _U(1)) << _READ_SHIFT))
+        part = keys[at:to]
+        at = to
+        place = part >> _U(I_BITS)
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        equal, place = np.bitwise_or.reduceat(part & _I_MASK, first), place[first]
+        if not (head and tail):
+            offset = place & _U((1 << O_BITS) - 1)
+            use = (head | (offset >= _U(bias))) & (tail | (offset < _U(own + bias)))
+            equal, place = equal[use], place[use]
+        lowest = np.bitwise_count((equal & (~equal + _U(1))) - _U(1)).astype(_U)
+        votes.append(span_best(place, np.bitwise_count(equal).astype(_U), lowest, top, bias))
+    return np.concatenate(votes)
+
+
+def limits(found: np.ndarray, reads: int, n: int, top: int) -> np.ndarray:
+    """For each read the first seed from which on two neighbours of a later place are no more among its ``top`` best votes."""
+    limit = np.full(reads, n, np.int64)
+    if len(found):
+        last = np.flatnonzero(np.append(found[1:, 0] != found[:-1, 0], True))
+        full = last[np.diff(last, prepend=-1) >= top]
+        limit[found[full, 0]] = np.where(found[full, 1] > 2, 0, found[full, 2])
+    return limit
+
+
 def span_best(place: np.ndarray, seeds: np.ndarray, seed: np.ndarray, top: int, bias: int) -> np.ndarray:
     """``best`` for places that are numbers (read, offset + bias), sorted as single numbers."""
     offset = place & _U((1 << O_BITS) - 1)
@@ -317,14 +376,25 @@ def _spans(files, low: int, high: int, wide: int, conversion: str):
         yield at, to - at, table[letters(files, at, min(end, to + wide))]
 
 
-def _whole(files, low: int, high: int, own: np.ndarray, ok: np.ndarray, wide: int, k: int, step: int, conversion: str, top: int, min_seeds: int):
-    """(hits, offsets, votes with offsets in the genome) of some reads' ``_seeds``."""
-    hits = np.zeros(len(own), np.int64)
-    offsets, found, held = hits.copy(), np.zeros((0, 4), np.int64), {}
+def _whole(files, low: int, high: int, own: np.ndarray, ok: np.ndarray, wide: int, k: int, step: int, conversion: str, top: int, min_seeds: int, few: bool | None = False):
+    """(hits, offsets, votes with offsets in the genome) of some reads' ``_seeds``.
+
+    ``few`` forces votes by ``span_few``, without hits and offsets; None takes it where hits are many.
+    """
+    n, reads = own.shape[1], len(own)
+    hits = np.zeros(reads, np.int64)
+    offsets, found, held, lean = hits.copy(), np.zeros((0, 4), np.int64), {}, {}
+    able = few is not False and min_seeds == 2 and 2 <= n <= I_BITS and 2 * step <= k and 3**k <= 1 << 24
+    asks = np.bincount(own[ok], minlength=3**k) if able else None
     for at, size, digits in _spans(files, low, high, wide, conversion):
-        h, r, votes = span_votes(own, ok, digits, size, k, step, top, min_seeds, at == low * BLOCK, at + size == (high + 1) * BLOCK, None, held)
-        hits += h
-        offsets += h - r
+        head, tail = at == low * BLOCK, at + size == (high + 1) * BLOCK
+        genome, there = _coded(digits, k) if able else (None, None)
+        if able and (few or asks @ np.bincount(genome[:size] if there is None else genome[:size][there[:size]], minlength=3**k) > 2 * reads * n * (n - 1)):
+            votes = span_few(own, ok, genome, there, size, k, step, top, head, tail, limits(found, reads, n, top), lean)
+        else:
+            h, r, votes = span_votes(own, ok, digits, size, k, step, top, min_seeds, head, tail, None, held)
+            hits += h
+            offsets += h - r
         votes[:, 3] += at
         found = merged(found, votes, top)
     return hits, offsets, found
@@ -401,6 +471,8 @@ def _regions(files, low: int, high: int, starts: np.ndarray, length: int, held:
 def _strings(rows: np.ndarray) -> pa.Array:
     """A string a row, without zeros."""
     there = rows != 0
+    if there.all():
+        return pa.StringArray.from_buffers(len(rows), pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])), pa.py_buffer(np.ascontiguousarray(rows)))
     ends = np.append(0, np.cumsum(there.sum(axis=1))).astype(np.int32)
     return pa.StringArray.from_buffers(len(rows), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows[there])))
 
@@ -452,7 +524,7 @@ def candidates(
 
     def run(table):
         held = {}
-        votes = _whole(files, low, high, *_seeds(table.column(1).chunk(0), k, step, conversion), k, step, conversion, top, min_seeds)[2]
+        votes = _whole(files, low, high, *_seeds(table.column(1).chunk(0), k, step, conversion), k, step, conversion, top, min_seeds, None)[2]
         start, rank = np.minimum(np.maximum(votes[:, 3], 0), genome_length - read_length), ranks(votes[:, 0]).astype(np.int32)
         use = start >= 0
         votes, start, rank = votes[use], start[use], rank[use]

@@ -94,10 +94,18 @@ def genome_reads(spark: SparkSession, d: str) -> DataFrame:
     # runs of blocks with the next two; by the size of the part file Spark would broadcast them
     some, x = 8, F.col("block_id")
     runs = blocks(spark, d).select(F.explode(F.array_distinct(F.array(F.floor(x / some), F.floor((x - 2) / some)))).alias("run"), F.struct("block_id", "seq").alias("b")).groupBy("run").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    # a run without a gap is one text; only others stay lists
+    whole, first = F.size(F.array_distinct(F.transform("b", lambda y, i: y["block_id"] - i))) == 1, F.col("b")[0]["block_id"]
+    runs = runs.select("run", (first * BLOCK).alias("since"), F.when(whole, F.array_join(F.transform("b", lambda y: y["seq"]), "")).alias("text"), F.when(~whole, F.col("b")).alias("b"))
     at = F.floor(F.col("start0") / BLOCK)
     cut = placed.withColumn("run", F.floor(at / some)).join(runs.hint("shuffle_hash"), "run")
     three = F.filter("b", lambda y: y["block_id"].between(at, at + 2))
-    raw = F.substring(F.array_join(F.transform(three, lambda y: y["seq"]), ""), (F.col("start0") % BLOCK + 1).cast("int"), F.lit(50))
+    inside = (at * BLOCK >= F.col("since")) & ((at + 3) * BLOCK <= F.col("since") + F.length("text"))
+    apart = F.substring(F.array_join(F.transform(three, lambda y: y["seq"]), ""), (F.col("start0") % BLOCK + 1).cast("int"), F.lit(50))
+    raw = F.when(inside, F.substring("text", (F.col("start0") - F.col("since") + 1).cast("int"), F.lit(50))).when(F.size(three) == 3, apart)
+    # a read needs all three blocks
+    cut = cut.select("read_idx", "start0", raw.alias("raw")).where("raw is not null")
+    raw = F.col("raw")
     return cut.select("read_idx", "start0", F.when(F.col("read_idx") % 2 == 0, F.translate(raw, "C", "T")).otherwise(raw).alias("seq"))
 
 

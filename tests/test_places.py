@@ -68,6 +68,48 @@ def test_offsets_by_pairs_without_an_equal_seed_between(monkeypatch, k, step):
             assert list(zip(hits.tolist(), offsets.tolist())) == want
 
 
+@pytest.mark.parametrize("k,step", [(3, 1), (4, 2)])
+def test_neighbours_are_looked_up_only_where_they_can_count(monkeypatch, k, step):
+    rng = np.random.default_rng(k)
+    genome = rng.choice(list(b"ACGT"), 640).astype(np.uint8)
+    genome[320:] = genome[:320]
+    genome[[350, 415, 430]] = ord("A")
+    genome[64:96] = 0
+    reads = [np.where(genome[a : a + 18] == 0, ord("C"), genome[a : a + 18]) for a in rng.integers(0, 620, 40)] + [genome[626:640], genome[:k]]
+    monkeypatch.setattr(places, "letters", lambda files, start, end: genome[start:end])
+    own, found, sizes = places.digit_table("ct"), places._found, []
+    want = [x[2] for x in by_hand([own[r] for r in reads], np.where(genome == 0, 255, own[genome]), k, step, 5)]
+
+    def counted(*given):
+        for q in found(*given):
+            sizes.append(len(q))
+            yield q
+
+    monkeypatch.setattr(places, "_found", counted)
+    seeds = places._seeds(pa.array([r.tobytes().decode() for r in reads]), k, step, "ct")
+    total = {}
+    for span in (1 << 22, 160, 64):
+        monkeypatch.setattr(places, "SPAN", span)
+        sizes.clear()
+        votes = places._whole([], 0, 19, *seeds, k, step, "ct", 5, 2, True)[2]
+        assert [[tuple(x) for x in votes[votes[:, 0] == j, 1:].tolist()] for j in range(len(reads))] == want
+        total[span] = sum(sizes)
+    assert total[64] < 0.95 * total[1 << 22]
+
+
+def test_reads_need_all_their_blocks(spark, tmp_path):
+    from oracle import compare
+    from strandmill.plans import oracles, views
+
+    ids = [i for i in range(100) if i not in (0, 13, 14, 40, 57, 79)]
+    spark.createDataFrame([(i,) for i in ids], "p_partkey long").coalesce(1).write.parquet(f"{tmp_path}/part")
+    spark.createDataFrame([(i, i % 7) for i in range(3000)], "event_id long, user_id long").coalesce(1).write.parquet(f"{tmp_path}/events")
+    (tmp_path / "d").mkdir()
+    for name in ("part", "events"):
+        next((tmp_path / name).glob("*.parquet")).rename(tmp_path / "d" / f"{name}.parquet")
+    compare(spark, str(tmp_path / "d"), lambda s, d: views.genome_reads(s, d), f"with {oracles.GREADS} select read_idx, start0, seq from gr")
+
+
 def test_model_filter_writes_its_rows_once(spark, monkeypatch):
     from strandmill.operators import correct
 
