@@ -55,7 +55,7 @@ def flank_for(read_length: int) -> int:
     return 0 if read_length < 80 else 1 if read_length < 150 else 2 if read_length < 500 else 3
 
 
-#: genome positions whose bases make one row
+#: genome positions whose bases make one row, a power of two
 RUN = 32
 
 
@@ -67,14 +67,17 @@ def site_motifs(sites: DataFrame, genome: DataFrame, flank: int) -> DataFrame:
     contig's edge get a shorter motif, those without any base near have no row. Runs
     are never broadcast: they grow with the genome, whatever the files it comes from.
     """
-    run = lambda at: F.floor(at / RUN)
+    run = lambda at: F.shiftright(at.cast("bigint"), RUN.bit_length() - 1)
     first, last = run(F.col("pos") - flank), run(F.col("pos") + flank)
-    # place and letter as one number, in order of the place
-    g = genome.select(F.col("chrom").alias("__chrom"), (F.col("pos").cast("bigint") * 256 + F.ascii("base")).alias("x"), F.explode(F.sequence(first, last)).alias("__run"))
+    inside = lambda: F.col("pos").cast("bigint") - F.col("__run") * RUN
+    # place in the run and letter as one small number, in order of the place
+    g = genome.select(F.col("chrom").alias("__chrom"), "pos", "base", F.explode(F.sequence(first, last)).alias("__run"))
+    g = g.select("__chrom", "__run", ((inside() + flank) * 256 + F.ascii("base")).cast("int").alias("x"))
     runs = g.groupBy("__chrom", "__run").agg(F.sort_array(F.collect_list("x")).alias("__x")).hint("merge")
-    near = F.filter("__x", lambda x: F.shiftright(x, 8).between(F.col("pos") - flank, F.col("pos") + flank))
+    # an array of one, so that the site's own place is found once and not for each letter
+    near = F.transform(F.array((inside() * 256).cast("int")), lambda low: F.filter("__x", lambda x: (x >= low) & (x < low + 256 * (2 * flank + 1))))[0]
     at = sites.join(runs, (F.col("chrom") == F.col("__chrom")) & (run(F.col("pos")) == F.col("__run")))
-    motif = F.array_join(F.transform(near, lambda x: F.char(x.bitwiseAND(F.lit(255)))), "")
+    motif = F.array_join(F.transform(near, lambda x: F.char(x.bitwiseAND(F.lit(255)).cast("bigint"))), "")
     return at.withColumn("motif", motif).drop("__chrom", "__run", "__x").where("motif <> ''")
 
 

@@ -34,6 +34,13 @@ def test_motifs_across_runs_and_gaps(spark):
         assert {r.pos: r.motif for r in correct.site_motifs(sites, g, flank).collect()} == want
 
 
+def test_motifs_at_great_positions(spark):
+    letters = {(1 << 57) + p: "ACGT"[p * 7 % 4] for p in range(100) if p != 40}
+    g = spark.createDataFrame([("c", p, b) for p, b in letters.items()], "chrom string, pos bigint, base string")
+    want = {p: "".join(letters.get(q, "") for q in range(p - 1, p + 2)) for p in letters}
+    assert {r.pos: r.motif for r in correct.site_motifs(g.select("chrom", "pos"), g, 1).collect()} == want
+
+
 def test_calls_by_hand_across_runs(spark):
     genome = {("c", p): "CCAGTC"[p * 5 % 6] for p in range(300) if p not in (70, 71)} | {("d", p): "C" for p in range(10)}
     g = spark.createDataFrame([(*at, b) for at, b in genome.items()], "chrom string, pos bigint, base string")
